@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import line_dedup, mixing, tokens
+from larkspur.llm import line_dedup, mixing, quality_rules, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,3 +59,8 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 """)
 def op8_mixing(spark, sf_dir):
     return mixing.allot(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op9_quality_rules(spark, sf_dir):
+    return quality_rules.verdicts(documents(spark, sf_dir)).drop("_hash")
