@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import line_dedup, mixing, packing, quality_rules, tokens, topk
+from larkspur.llm import line_dedup, mixing, ngram_join, packing, quality_rules, tokens, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -72,7 +72,7 @@ def op3_packing(spark, sf_dir):
 
 
 @query("""
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings),
+WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS e FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
@@ -80,3 +80,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 def op4_exact_topk(spark, sf_dir):
     vectors = topk.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+@query()
+def op7_ngram_join(spark, sf_dir):
+    return ngram_join.similar_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
