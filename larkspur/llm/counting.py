@@ -1,0 +1,31 @@
+"""Counts of 64-bit keys as sorted arrays: packed by tasks, merged per shard."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+
+PACKED = "shard int, once binary, more binary, times binary"
+
+
+def pack(keys: list[np.ndarray], edges) -> pd.DataFrame:
+    """A row per shard that has keys: those seen once, and the others with their counts. ``edges``: sorted keys to shard bounds."""
+    found, counts = np.unique(np.concatenate(keys), return_counts=True)
+    bounds, rows = edges(found), []
+    for s in range(len(bounds) - 1):
+        part, times = found[bounds[s] : bounds[s + 1]], counts[bounds[s] : bounds[s + 1]]
+        if len(part):
+            again = times > 1
+            rows.append((s, part[~again].tobytes(), part[again].tobytes(), times[again].astype("<u4").tobytes()))
+    return pd.DataFrame(rows, columns=["shard", "once", "more", "times"])
+
+
+def merge(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of a shard's packed rows, and their counts."""
+    once = np.frombuffer(b"".join(pdf.once), "<u8")
+    keys = np.concatenate([once, np.frombuffer(b"".join(pdf.more), "<u8")])
+    times = np.concatenate([np.ones(len(once), dtype=np.int64), np.frombuffer(b"".join(pdf.times), "<u4").astype(np.int64)])
+    order = np.argsort(keys)
+    keys, times = keys[order], times[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(times, first)

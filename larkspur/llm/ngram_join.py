@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import store
 from larkspur.llm.components import components
+from larkspur.llm.counting import PACKED, merge, pack
 from larkspur.llm.hashing import grouped, mix, shingle_sets
 from larkspur.session import fresh_dir, written
 
@@ -53,15 +54,7 @@ def count_shared(docs: DataFrame, folder: str, shards: int, n: int) -> None:
     """Sorted arrays df-<shard> and their counts dfn-<shard> of the n-grams in two or more documents."""
 
     def send(hashes: list[np.ndarray]) -> pd.DataFrame:
-        found, counts = np.unique(np.concatenate(hashes), return_counts=True)
-        edges = store.shard_edges(found, shards)
-        rows = []
-        for s in range(shards):
-            part, times = found[edges[s] : edges[s + 1]], counts[edges[s] : edges[s + 1]]
-            if len(part):
-                again = times > 1
-                rows.append((s, part[~again].tobytes(), part[again].tobytes(), times[again].astype("<u4").tobytes()))
-        return pd.DataFrame(rows, columns=["shard", "once", "more", "times"])
+        return pack(hashes, lambda found: store.shard_edges(found, shards))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -77,20 +70,14 @@ def count_shared(docs: DataFrame, folder: str, shards: int, n: int) -> None:
             yield send(held)
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        once = np.frombuffer(b"".join(pdf.once), "<u8")
-        keys = np.concatenate([once, np.frombuffer(b"".join(pdf.more), "<u8")])
-        times = np.concatenate([np.ones(len(once), dtype="<u4"), np.frombuffer(b"".join(pdf.times), "<u4")])
-        order = np.argsort(keys)
-        keys, times = keys[order], times[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        total = np.add.reduceat(times, first)
+        keys, total = merge(pdf)
         shared = total > 1
         s = int(pdf.shard.iloc[0])
-        store.put(folder, f"df-{s}", keys[first][shared])
+        store.put(folder, f"df-{s}", keys[shared])
         store.put(folder, f"dfn-{s}", total[shared].astype("<u4"))
         return pd.DataFrame([(s, int(shared.sum()))], columns=["shard", "n"])
 
-    parts = docs.select("text").mapInPandas(counted, "shard int, once binary, more binary, times binary")
+    parts = docs.select("text").mapInPandas(counted, PACKED)
     done = {r.shard for r in parts.groupBy("shard").applyInPandas(merged, "shard int, n bigint").collect()}  # a row per shard
     for s in set(range(shards)) - done:
         store.put(folder, f"df-{s}", np.empty(0, "<u8"))

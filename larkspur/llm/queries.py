@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import line_dedup, mixing, ngram_join, packing, quality_rules, tokens, topk
+from larkspur.llm import language_model, line_dedup, mixing, ngram_join, packing, quality_rules, tokens, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -85,3 +85,8 @@ def op4_exact_topk(spark, sf_dir):
 @query()
 def op7_ngram_join(spark, sf_dir):
     return ngram_join.similar_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+@query()
+def op6_language_model(spark, sf_dir):
+    return language_model.score_all(documents(spark, sf_dir))
