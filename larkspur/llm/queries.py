@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import language_model, line_dedup, mixing, ngram_join, packing, quality_rules, tokens, topk
+from larkspur.llm import language_model, line_dedup, mixing, ngram_join, packing, quality_rules, repeats, tokens, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -90,3 +90,9 @@ def op7_ngram_join(spark, sf_dir):
 @query()
 def op6_language_model(spark, sf_dir):
     return language_model.score_all(documents(spark, sf_dir))
+
+
+@query()
+def op5_repeats(spark, sf_dir):
+    found = repeats.remove_repeats(documents(spark, sf_dir), with_kept=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -56,3 +56,22 @@ def language_model(docs):
         score = sum(math.log10(p(u, w)) for u, w in zip(["<s>", *line[:-1]], line))
         out[i] = (held[i], len(line), sum(c[w] > 0 for w in line), n, base, score)
     return out
+
+
+def repeats(docs, span=100):
+    """{doc_id: (n_bytes, n_removed, n_spans, kept_sha256)}; docs in order of their ids."""
+    import hashlib
+
+    seen, out = set(), {}
+    for i, text in sorted(docs):
+        data = (text or "").encode()
+        covered = bytearray(len(data))
+        for p in range(len(data) - span + 1):
+            window = data[p : p + span]
+            if window in seen:
+                covered[p : p + span] = b"\1" * span
+            seen.add(window)
+        kept = bytes(b for b, c in zip(data, covered, strict=True) if not c)
+        spans = sum(c and not (k and covered[k - 1]) for k, c in enumerate(covered))
+        out[i] = (len(data), sum(covered), spans, hashlib.sha256(kept).hexdigest())
+    return out
