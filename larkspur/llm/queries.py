@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import language_model, line_dedup, mixing, ngram_join, packing, quality_rules, repeats, tokens, topk
+from larkspur.llm import language_model, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, repeats, tokens, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -96,3 +96,8 @@ def op6_language_model(spark, sf_dir):
 def op5_repeats(spark, sf_dir):
     found = repeats.remove_repeats(documents(spark, sf_dir), with_kept=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query()
+def op10_quality_classifier(spark, sf_dir):
+    return quality_classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
