@@ -35,7 +35,7 @@ from larkspur.llm.suffix_array import common_prefixes, suffix_array
 from larkspur.session import fresh_dir, written
 
 SPAN, GRAM = 100, 32
-PART, SHARD_BYTES, GATHERED = 1 << 20, 24 << 20, 1_500_000
+PART, SHARD_BYTES, GATHERED = 1 << 19, 12 << 20, 500_000
 # Bytes of contested text in one suffix array.
 ARRAY_BYTES = 8 << 20
 NULL_ID = -(1 << 63)
@@ -104,7 +104,8 @@ def runs(group: list[tuple[int, int, bytes]], span: int, gram: int) -> tuple[np.
     where = np.searchsorted(begins, low, side="right") - 1
     offset = np.array([x[1] for x in group])[where] - begins[where]
     doc = np.array([x[0] for x in group])[where]
-    return doc, low + offset, high - low, g[mark], kind
+    # Least hashes are small ones: mixed again they spread over all shards.
+    return doc, low + offset, high - low, mix(g[mark] + np.uint64(1)), kind
 
 
 _COLUMNS = ["shard", "kind", "h", "c", "doc", "low", "width", "ids", "ths"]
