@@ -37,7 +37,7 @@ from larkspur.session import fresh_dir, written
 SPAN, GRAM = 100, 32
 PART, SHARD_BYTES, GATHERED = 1 << 19, 12 << 20, 500_000
 # Bytes of contested text in one suffix array.
-ARRAY_BYTES = 8 << 20
+ARRAY_BYTES = 2 << 20
 NULL_ID = -(1 << 63)
 
 
