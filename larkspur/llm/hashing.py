@@ -6,6 +6,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from larkspur.llm import memory
+
 # White space of the contracts as bytes.
 SPACE_BYTES = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
 _SPACE = np.zeros(256, dtype=bool)
@@ -16,6 +18,7 @@ _BYTE = np.random.default_rng(20250101).integers(0, 1 << 63, 256, dtype=np.uint6
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+memory.when_idle(_powers.clear)
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -37,17 +40,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def grouped(texts: Iterable[str | None], limit: int = 1 << 22) -> Iterator[list[bytes]]:
+def grouped(texts: Iterable[str | None], limit: int = 1 << 20) -> Iterator[list[bytes]]:
     """UTF-8 texts in groups of about ``limit`` bytes; a longer text stands alone."""
     group, size = [], 0
     for text in texts:
         data = (text or "").encode("utf-8", "surrogatepass")
         if group and size + len(data) > limit:
+            memory.busy()
             yield group
             group, size = [], 0
         group.append(data)
         size += len(data) + 1
     if group:
+        memory.busy()
         yield group
 
 

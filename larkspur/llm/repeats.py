@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm import store
+from larkspur.llm import memory, store
 from larkspur.llm.hashing import _BASE, _BYTE, _INVERSE, _power, mix
 from larkspur.llm.suffix_array import common_prefixes, suffix_array
 from larkspur.session import fresh_dir, written
@@ -37,7 +37,7 @@ from larkspur.session import fresh_dir, written
 SPAN, GRAM = 100, 32
 PART, SHARD_BYTES, GATHERED = 1 << 19, 12 << 20, 500_000
 # Bytes of contested text in one suffix array.
-ARRAY_BYTES = 2 << 20
+ARRAY_BYTES = 1 << 20
 NULL_ID = -(1 << 63)
 
 
@@ -61,6 +61,7 @@ def parts_of(datas: list[bytes], span: int) -> Iterator[list[tuple[int, int, byt
             group.append((i, at, piece))
             size += len(piece)
             if size >= PART:
+                memory.busy()
                 yield group
                 group, size = [], 0
     if group:
@@ -290,6 +291,7 @@ def find_repeats(docs: DataFrame, folder: str, shards: int, span: int, gram: int
         rows, at, docs_, lows, widths = [], 0, [], [], []
         order_all = np.unique(np.stack([ids, ths], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
         while at < len(pdf):
+            memory.busy()
             goal = (sizes[at - 1] if at else 0) + ARRAY_BYTES
             ends = last[(last >= at)]
             end = int(ends[max(0, np.searchsorted(sizes[ends], goal, side="right") - 1)]) + 1

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.llm import memory
+
 VOCABULARY = "word_bpe_49k.json"
 # Parts and words whose ids a worker remembers, twice (about 200 MB).
 MEMO_WORDS = 600_000
@@ -77,6 +79,7 @@ class WordMemo:
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         texts = iter(texts)
         while group := list(islice(texts, TOGETHER)):
+            memory.busy()
             split = [(text or "").replace("\n", " ").split(" ") for text in group]
             known = self.parts
             new = self._lookup(set(chain.from_iterable(split)).difference(known))
@@ -88,6 +91,7 @@ class WordMemo:
 
 
 _MEMOS: dict[str, WordMemo] = {}
+memory.when_idle(_MEMOS.clear)
 
 
 def word_memo(path: str) -> WordMemo:
