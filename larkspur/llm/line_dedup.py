@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.text import ascii_lower, lines, stripped
+from larkspur.llm.text import ascii_lower, carried, lines, stripped, unpacked
 from larkspur.session import written
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -65,14 +65,15 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents with their kept lines joined again, and n_lines and n_dropped."""
     bitmaps = drop_bitmaps(docs, id_col, text_col, min_chars, min_docs)
+    docs = docs.drop("n_lines", "n_dropped")
     own, text_hash = _row_key(id_col, text_col)
-    keyed = docs.drop("n_lines", "n_dropped").withColumns({"_own": own, "_own_hash": text_hash})
+    keyed = carried(docs, _own=own, _own_hash=text_hash)
     joined = keyed.join(bitmaps.hint("shuffle_hash"), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")), "left")
-    every = lines(F.col(text_col))
+    text = F.coalesce(F.col("_row").getField(text_col), F.lit(""))
+    every = lines(text)
     kept = F.filter(every, lambda _, i: F.coalesce(F.getbit(F.get(F.col("drop_words"), F.floor(i / 64).cast("int")), i % 64), F.lit(0)) == 0)
     dropped = F.aggregate(F.col("drop_words"), F.lit(0).cast("bigint"), lambda n, w: n + F.bit_count(w))
-    return joined.withColumns({
-        "n_lines": F.size(every).cast("bigint"),
-        "n_dropped": F.coalesce(dropped, F.lit(0)).cast("bigint"),
-        text_col: F.when(F.col("drop_words").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n")),
-    }).drop("_own", "_own_hash", "_id", "_hash", "drop_words")
+    return joined.select(
+        *unpacked(docs, **{text_col: F.when(F.col("drop_words").isNull(), text).otherwise(F.array_join(kept, "\n"))}),
+        F.size(every).cast("bigint").alias("n_lines"), F.coalesce(dropped, F.lit(0)).cast("bigint").alias("n_dropped"),
+    )

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.text import SPACE_RUN
+from larkspur.llm.text import SPACE_RUN, carried, unpacked
 from larkspur.session import written
 
 WEIGHTS, SHARE, CAP, SEED = (3, 1, 2), 1.5, 2, "mix-1"
@@ -105,5 +105,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     plan = allot(docs, **options).filter("taken > 0").select(
         F.col("doc_id").alias("_id"), "_hash", F.ceil(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("n_copies"), F.col("taken").alias("taken_words")
     ).dropDuplicates(["_id", "_hash"])
-    keyed = docs.drop("n_copies", "taken_words").withColumn("_own_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    return keyed.join(plan.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))).drop("_id", "_hash", "_own_hash")
+    docs = docs.drop("n_copies", "taken_words")
+    keyed = carried(docs, _own=F.col("doc_id"), _own_hash=F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    joined = keyed.join(plan.hint("shuffle_hash"), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")))
+    return joined.select(*unpacked(docs), "n_copies", "taken_words")

@@ -31,6 +31,7 @@ from larkspur.llm import store
 from larkspur.llm.components import components
 from larkspur.llm.counting import PACKED, merge, pack
 from larkspur.llm.hashing import grouped, mix, shingle_sets
+from larkspur.llm.text import carried, unpacked
 from larkspur.session import fresh_dir, written
 
 # Bytes of text a shard of n-gram counts stands for, and hashes a task gathers before it sends them.
@@ -257,4 +258,5 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, **options) -> Da
     """The documents whose id is their component's, one row of each."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     kept = similar_groups(docs, n, percent, **options).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.dropDuplicates([id_col, text_col]).join(kept.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    keyed = carried(docs.dropDuplicates([id_col, text_col]), _own=F.col(id_col))
+    return keyed.join(kept.hint("shuffle_hash"), F.col("_own").eqNullSafe(F.col("_id")), "left_semi").select(*unpacked(docs))

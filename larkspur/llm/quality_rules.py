@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.text import SPACE, let, lines, stripped, words
+from larkspur.llm.text import SPACE, carried, let, lines, stripped, unpacked, words
 from larkspur.session import written
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
@@ -200,6 +200,6 @@ _ALL = "*\x01*"
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The documents that the rules keep."""
     good = verdicts(docs, **options).filter("kept").select(F.col("doc_id").alias("_id"), "_hash").distinct()
-    keyed = docs.withColumn("_own_hash", F.xxhash64(F.coalesce(F.col(options.get("text_col", "text")), F.lit(""))))
-    on = F.col(options.get("id_col", "doc_id")).eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))
-    return keyed.join(good.hint("shuffle_hash"), on, "left_semi").drop("_own_hash")
+    keyed = carried(docs, _own=F.col(options.get("id_col", "doc_id")), _own_hash=F.xxhash64(F.coalesce(F.col(options.get("text_col", "text")), F.lit(""))))
+    on = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))
+    return keyed.join(good.hint("shuffle_hash"), on, "left_semi").select(*unpacked(docs))

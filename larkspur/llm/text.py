@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The white space of the contracts, space and U+0009 to U+000D.
@@ -31,6 +31,16 @@ def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def carried(docs: DataFrame, **keys: Column) -> DataFrame:
+    """All columns as one, _row, so that no name of theirs clashes with those of a join; beside it the keys."""
+    return docs.select(F.struct("*").alias("_row"), *[v.alias(k) for k, v in keys.items()])
+
+
+def unpacked(docs: DataFrame, **replaced: Column) -> list[Column]:
+    """The columns of ``docs`` out of _row, some replaced."""
+    return [replaced[c].alias(c) if c in replaced else F.col("_row").getField(c).alias(c) for c in docs.columns]
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once per row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -12,8 +12,8 @@ Queries and rows meet by block number: an equality join of query batches with bl
 against all rows in blocks.
 
 Edge cases: vectors that are NULL or hold NULL or non-finite components take no part; shorter vectors
-count as padded with zeros. Rows with the query's own id are never its candidates, repeated ones included.
-Ties go to the smaller vec_id. Fewer candidates than k give them all. Extra columns are left out.
+count as padded with zeros. Rows with the query's own id are never its candidates, repeated ones included; an id asked with
+several vectors is asked once, with the least. Ties go to the smaller vec_id. Fewer candidates than k give them all. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -158,6 +158,7 @@ def search_block(ids: np.ndarray, m: np.ndarray, both: np.ndarray, shift: int, s
 def top_k(df: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score. Both frames: vec_id, v (see ``quantised``)."""
     spark = df.sparkSession
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     span = F.aggregate(F.col("v"), F.lit(None).cast("bigint"), lambda a, x: F.least(a, x)), F.aggregate(F.col("v"), F.lit(None).cast("bigint"), lambda a, x: F.greatest(a, x))
     n, low, high, dims = df.agg(F.count(F.lit(1)), F.min(span[0]), F.max(span[1]), F.max(F.size("v"))).first()
     n_queries, q_dims = queries.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
