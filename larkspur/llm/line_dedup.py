@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.text import ascii_lower, carried, lines, stripped, unpacked
+from larkspur.llm.text import ascii_lower, carried, cell, lines, stripped, unpacked
 from larkspur.session import written
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -69,7 +69,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own, text_hash = _row_key(id_col, text_col)
     keyed = carried(docs, _own=own, _own_hash=text_hash)
     joined = keyed.join(bitmaps.hint("shuffle_hash"), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")), "left")
-    text = F.coalesce(F.col("_row").getField(text_col), F.lit(""))
+    text = F.coalesce(cell(docs, text_col), F.lit(""))
     every = lines(text)
     kept = F.filter(every, lambda _, i: F.coalesce(F.getbit(F.get(F.col("drop_words"), F.floor(i / 64).cast("int")), i % 64), F.lit(0)) == 0)
     dropped = F.aggregate(F.col("drop_words"), F.lit(0).cast("bigint"), lambda n, w: n + F.bit_count(w))

@@ -32,13 +32,19 @@ def lines(text: Column) -> Column:
 
 
 def carried(docs: DataFrame, **keys: Column) -> DataFrame:
-    """All columns as one, _row, so that no name of theirs clashes with those of a join; beside it the keys."""
-    return docs.select(F.struct("*").alias("_row"), *[v.alias(k) for k, v in keys.items()])
+    """All columns under numbered names, so that none of theirs clashes with those of a join; beside them the keys."""
+    return docs.select(*[cell(docs, c, F.col("`" + c.replace("`", "``") + "`")) for c in docs.columns], *[v.alias(k) for k, v in keys.items()])
+
+
+def cell(docs: DataFrame, name: str, value: Column | None = None) -> Column:
+    """The numbered column that carries ``name``, or ``value`` under its name."""
+    numbered = f"_carried{docs.columns.index(name)}"
+    return F.col(numbered) if value is None else value.alias(numbered)
 
 
 def unpacked(docs: DataFrame, **replaced: Column) -> list[Column]:
-    """The columns of ``docs`` out of _row, some replaced."""
-    return [replaced[c].alias(c) if c in replaced else F.col("_row").getField(c).alias(c) for c in docs.columns]
+    """The columns of ``docs`` under their own names, some replaced."""
+    return [(replaced[c] if c in replaced else cell(docs, c)).alias(c) for c in docs.columns]
 
 
 def let(value: Column, body) -> Column:
