@@ -9,8 +9,9 @@
    lists over these are the candidates. Lists with the same members are searched once.
 4. A list is searched by DivideSkip: the short lists of a probe are merged, what they leave undecided is
    probed in the long ones by bisection, and documents reaching the required overlap are links. Documents
-   that link with the list's pivots need no search of their own, as they are reached already; so a list of
-   thousands of near copies costs a comparison each, and no pairs are written.
+   that link with one of the list's pivots are connected already and need a search of their own only where
+   they are near another pivot's group; so a list of thousands of near copies costs a comparison each, and
+   no pairs are written.
 5. Links join classes to components.
 
 Edge cases: NULL, empty and blank texts have no n-grams and link with nothing. A shorter text is one n-gram
@@ -177,7 +178,9 @@ class _Links:
 def search_list(sizes: np.ndarray, tokens: list[np.ndarray], percent: int, pivots: int = PIVOTS, block: int = INDEX_MEMBERS) -> np.ndarray:
     """For each member of a list the first member of its group of links. ``tokens``: sorted shared n-grams."""
     m = len(sizes)
-    links, reached = _Links(m), np.zeros(m, dtype=bool)
+    links, reached, nearby = _Links(m), np.zeros(m, dtype=bool), []
+    # Jaccard distance is a metric: what links with a pivot's neighbour is at most twice as far from the pivot.
+    wide = max(0, 2 * percent - 100)
     for _ in range(min(pivots, m)):
         left = np.flatnonzero(~reached)
         if not len(left):
@@ -186,7 +189,7 @@ def search_list(sizes: np.ndarray, tokens: list[np.ndarray], percent: int, pivot
         reached[p] = True
         for a in range(0, m, block):
             some = np.arange(a, min(m, a + block))
-            some = some[(100 * np.minimum(sizes[some], sizes[p]) >= percent * np.maximum(sizes[some], sizes[p])) & (some != p)]
+            some = some[(100 * np.minimum(sizes[some], sizes[p]) >= wide * np.maximum(sizes[some], sizes[p])) & (some != p)]
             if not len(some):
                 continue
             flat = np.concatenate([tokens[i] for i in some])
@@ -196,8 +199,17 @@ def search_list(sizes: np.ndarray, tokens: list[np.ndarray], percent: int, pivot
             for i in some[overlap >= required(sizes[some], int(sizes[p]), percent)]:
                 links.join(int(i), p)
                 reached[i] = True
-    # A member that no pivot reached is searched against all; the others are linked to a pivot.
-    alone = np.flatnonzero(~reached)
+            nearby.append((p, some[overlap >= required(sizes[some], int(sizes[p]), wide)]))
+    # A member that no pivot reached is searched against all. A reached one is connected to its pivot's group,
+    # and can link another group only from near that group's pivot; of two groups the smaller one is searched.
+    search = ~reached
+    roots = np.array([links.root(i) for i in range(m)])
+    members = np.bincount(roots, minlength=m)
+    for p, some in nearby:
+        own, other = roots[some], roots[p]
+        smaller = (members[own] < members[other]) | ((members[own] == members[other]) & (own > other))
+        search[some[(own != other) & smaller]] = True
+    alone = np.flatnonzero(search)
     for a in range(0, m if len(alone) else 0, block):
         b = min(m, a + block)
         flat = np.concatenate(tokens[a:b])

@@ -194,6 +194,28 @@ def test_search_list_finds_all_links(pivots):
         assert ngram_join.search_list(sizes, members, 85, pivots=pivots, block=7).tolist() == label
 
 
+@pytest.mark.parametrize("pivots", [1, 2, 4])
+@pytest.mark.parametrize("block", [2, 7, 4096])
+def test_search_list_joins_groups_of_two_pivots(pivots, block):
+    """Chains whose ends are pivots: what links their groups is a pair of members that each reached one of them."""
+    window = lambda at, n=100: np.arange(at, at + n, dtype=np.uint64)
+    members = [window(0), window(24), window(8), window(16)]
+    assert ngram_join.search_list(np.full(4, 100), members, 85, pivots=pivots, block=block).tolist() == [0, 0, 0, 0]
+    rng = random.Random(8)
+    for percent in (80, 85):
+        for _ in range(20):
+            starts = [rng.choice((0, 500, 1000)) + 8 * rng.randint(0, 9) for _ in range(14)]
+            members = [window(at, rng.randint(96, 104)) for at in starts]
+            sizes = np.array([len(x) for x in members])
+            rows = [set(x.tolist()) for x in members]
+            label = list(range(len(rows)))
+            pairs = [(a, b) for a in label for b in range(a) if 100 * len(rows[a] & rows[b]) >= percent * len(rows[a] | rows[b])]
+            while moved := [(a, b) for a, b in pairs if label[a] != label[b]]:
+                for a, b in moved:
+                    label[a] = label[b] = min(label[a], label[b])
+            assert ngram_join.search_list(sizes, members, percent, pivots=pivots, block=block).tolist() == label
+
+
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
 def test_ngram_join(spark, docs, n, percent):
     expected = plain_components([(r.doc_id, r.text) for r in docs], n, percent)
