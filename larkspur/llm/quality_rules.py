@@ -184,8 +184,11 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     groups = named.count()
     chosen = passed.join(F.broadcast(named) if groups <= BROADCAST_GROUPS else named, "_own")
     # A shared estimate is made of all documents it stands for, those of large groups too.
-    needed = [r.g for r in named.select("g").distinct().filter(F.col("g").endswith("\x01*")).limit(BROADCAST_GROUPS).collect()]
-    shared = passed.withColumn("g", F.explode(F.array(F.col("_wide"), F.lit(_ALL)))).filter(F.col("g").isin(needed)) if needed else None
+    needed = named.select("g").distinct().filter(F.col("g").endswith("\x01*"))
+    shared = None
+    if needed.limit(1).count():
+        needed = F.broadcast(needed) if groups <= BROADCAST_GROUPS else needed
+        shared = passed.withColumn("g", F.explode(F.array(F.col("_wide"), F.lit(_ALL)))).join(needed, "g", "left_semi")
     own = chosen.filter(~F.col("g").endswith("\x01*"))
     vectors = own.select("g", *FEATURES).unionByName(shared.select("g", *FEATURES)) if shared is not None else own.select("g", *FEATURES)
     scored = _with(chosen, estimates(vectors, groups), groups).withColumn("distance", _distance())

@@ -267,6 +267,18 @@ def test_quality_keeps_clean_and_drops_marked_up(spark):
     assert all(i in kept or verdict[i].base_failed for i in range(300))
 
 
+def test_quality_same_verdicts_by_shuffle(spark, docs, monkeypatch):
+    """Many groups: estimates of many languages, joined by shuffle, give the verdicts that broadcast ones do."""
+    rows = [(r.doc_id, r.text, f"l{r.doc_id % 30}", f"s{r.doc_id}") for r in docs]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    shown = lambda: {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.verdicts(df).collect()}
+    monkeypatch.setattr(quality_rules, "MIN_GROUP", 4)
+    expected = shown()
+    assert set(expected) == {r.doc_id for r in docs}
+    monkeypatch.setattr(quality_rules, "BROADCAST_GROUPS", 3)
+    assert shown() == expected
+
+
 # -- odd and empty tables ----------------------------------------------------------------------------
 
 WHOLE = {
