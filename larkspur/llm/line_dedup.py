@@ -4,7 +4,7 @@ Only hashes travel: occurrences of long lines are range partitioned by key hash
 document and position, first occurrences per document are streamed out of the sorted runs, and what comes
 back is a bitmap per document (a bit per line, 64 to a long, trailing kept lines left off), not text. A
 key may be in a third of all documents, so its occurrences are salted by document and split over ranges
-before the streaming pass, and what joins back is left to adaptive skew handling.
+before the streaming pass, and the keys join back by salt too.
 
 Edge cases: NULL or empty text is one empty line, which stays. A NULL doc_id counts as one document below
 all others. Rows with the same doc_id count as one document; identical rows have identical results. Empty
@@ -22,7 +22,7 @@ from larkspur.session import written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 # Ranges over which the occurrences of one key can spread.
-SALTS = 64
+SALTS = 1024
 
 
 def _row_key(id_col: str, text_col: str):
@@ -31,28 +31,34 @@ def _row_key(id_col: str, text_col: str):
 
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """_id, _hash, _pos, _k1, _k2: every line whose key is long enough, by a 128-bit hash of its key."""
+    """_id, _hash, _pos, _k1, _k2, _salt: every line whose key is long enough, by a 128-bit hash of its key."""
     each = docs.select(*_row_key(id_col, text_col), F.posexplode(lines(F.col(text_col))).alias("_pos", "_line"))
     keyed = each.select("_id", "_hash", "_pos", stripped(F.col("_line")).alias("_line")).filter(F.length("_line") >= min_chars)
     key = ascii_lower(F.col("_line"))
-    return keyed.select("_id", "_hash", "_pos", F.xxhash64(key).alias("_k1"), F.xxhash64(F.lit("line"), key).alias("_k2"))
+    salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int").alias("_salt")
+    return keyed.select("_id", "_hash", "_pos", F.xxhash64(key).alias("_k1"), F.xxhash64(F.lit("line"), key).alias("_k2"), salt)
 
 
 def repeated_keys(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """_k1, _k2, _keeper: keys in at least ``min_docs`` documents and the largest document holding each."""
-    salted = found.select("_k1", "_k2", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int").alias("_salt"), "_id", "_pos")
+    """_k1, _k2, _salt, _keeper: keys in at least ``min_docs`` documents and the largest document holding each.
+
+    A row for each salt that the key's documents have: no more rows than occurrences.
+    """
+    salted = found.select("_k1", "_k2", "_salt", "_id", "_pos")
     dealt = salted.repartitionByRange("_k1", "_k2", "_salt").sortWithinPartitions("_k1", "_k2", "_salt", F.desc("_id"), "_pos")
     run = Window.partitionBy("_k1", "_k2", "_salt").orderBy(F.desc("_id"), "_pos")
     previous = F.lag(F.struct("_id")).over(run)
     firsts = dealt.withColumn("_first", previous.isNull() | ~previous["_id"].eqNullSafe(F.col("_id"))).filter("_first")
-    return firsts.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keeper")).filter(F.col("_n") >= min_docs).drop("_n")
+    by_salt = firsts.groupBy("_k1", "_k2", "_salt").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keeper"))
+    keys = by_salt.groupBy("_k1", "_k2").agg(F.sum("_n").alias("_n"), F.max("_keeper").alias("_keeper"), F.collect_list("_salt").alias("_salts"))
+    return keys.filter(F.col("_n") >= min_docs).select("_k1", "_k2", F.explode("_salts").alias("_salt"), "_keeper")
 
 
 def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """_id, _hash, drop_words: a row per document that loses lines; bit i % 64 of word i // 64 marks line i."""
     found = written(occurrences(docs, id_col, text_col, min_chars), "lines")
     keys = repeated_keys(found, min_docs)
-    lost = found.join(keys, ["_k1", "_k2"]).filter(~F.col("_id").eqNullSafe(F.col("_keeper")))
+    lost = found.join(keys, ["_k1", "_k2", "_salt"]).filter(~F.col("_id").eqNullSafe(F.col("_keeper")))
     word = F.expr("cast(_pos div 64 as int)")
     bits = lost.groupBy("_id", "_hash", word.alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, _pos % 64)")).alias("_bits"))
     sparse = bits.groupBy("_id", "_hash").agg(
