@@ -2,9 +2,10 @@
 
 A source's budget is first spent on complete epochs of all its documents; what is left is filled in the
 order of exponential keys -ln(u) / quality weight, prefix-summed until the budget is met, the last document
-in part. u comes of a digest of the id, so reruns agree. Keys fall into buckets of exp(-key); sums per
-(source, bucket) find the one bucket in which a source's budget ends, and only its documents are ranked one
-by one, so a source with a third of all rows does not land in one task.
+in part. u comes of a digest of the id, so reruns agree. Keys fall into buckets of exp(-key), and those into
+cells; sums per (source, bucket), then per cell of the one bucket in which a source's budget ends, find the
+one cell of 2**24 whose documents are ranked one by one. So a source with a third of all rows does not land
+in one task. What is known of a source is broadcast up to BROADCAST_SOURCES sources, joined by shuffle beyond.
 
 Edge cases: NULL text has size 0; a NULL source is a source, ordered last; sources without words get
 target 0. Ties in key go by doc_id (NULL first) and size; identical rows may swap. Empty tables give empty
@@ -20,7 +21,9 @@ from larkspur.llm.text import SPACE_RUN, carried, unpacked
 from larkspur.session import written
 
 WEIGHTS, SHARE, CAP, SEED = (3, 1, 2), 1.5, 2, "mix-1"
+# Buckets a source, and cells a bucket.
 BUCKETS = 4096
+BROADCAST_SOURCES = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -65,38 +68,54 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 def draws(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Key and size of each row; with the text's hash to tell rows of one id apart."""
     key = -F.ln(unit_draw(F.col(id_col), seed)) / quality_weight(F.col(text_col))
-    bucket = F.least(F.floor((1 - F.exp(-F.col("_key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+    cell = F.least(F.floor((1 - F.exp(-F.col("_key"))) * BUCKETS * BUCKETS), F.lit(BUCKETS * BUCKETS - 1)).cast("int")
     return docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("_key"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_hash"),
-    ).withColumn("_bucket", bucket)
+    ).withColumn("_cell", cell).withColumn("_bucket", F.floor(F.col("_cell") / BUCKETS).cast("int"))
+
+
+def _ends(sums: DataFrame, plans: DataFrame) -> DataFrame:
+    """``plans`` with the first slot whose running sum reaches the rest as _end, and the sum before it as _before.
+
+    ``sums``: source, _slot, _sum. ``plans``: a row per source, with _rest and the sum _before all slots.
+    """
+    steps = sums.withColumn("_upto", F.sum("_sum").over(Window.partitionBy("source").orderBy("_slot")))
+    kept = ["source_size", "target", "epochs", "_rest"]
+    first = F.min(F.struct("_slot", (F.col("_before") + F.col("_upto") - F.col("_sum")).alias("_before"))).alias("_first")
+    return (
+        steps.alias("s").join(plans.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")))
+        .filter(F.col("_before") + F.col("_upto") >= F.col("_rest")).groupBy("p.source").agg(*[F.first(c).alias(c) for c in kept], first)
+        .select("source", *kept, F.col("_first._before").alias("_before"), F.col("_first._slot").alias("_end"))
+    )
+
+
+def _with_plan(drawn: DataFrame, plans: DataFrame, sources: int) -> DataFrame:
+    known = plans.withColumnRenamed("source", "_source")
+    return drawn.join(F.broadcast(known) if sources <= BROADCAST_SOURCES else known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
 def allot(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED, **columns: str) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs, taken and _hash of every row."""
     drawn = written(draws(docs, seed, **columns), "draws")
-    sums = drawn.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
+    sums = drawn.groupBy("source", F.col("_bucket").alias("_slot")).agg(F.sum("size").alias("_sum"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, share, cap)
     budget = F.round("target").cast("bigint")
     size = F.greatest(F.col("source_size"), F.lit(1))
-    plans = targets.withColumns({"epochs": F.floor(budget / size), "_rest": F.expr("cast(round(target) as bigint) % greatest(source_size, 1L)")})
-    running = Window.partitionBy("source").orderBy("_bucket")
-    steps = sums.withColumn("_upto", F.sum("_sum").over(running))
-    # The first bucket that reaches the rest, by source; its sum before is where ranking starts.
-    ends = (
-        steps.alias("s").join(plans.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")))
-        .filter(F.col("_upto") >= F.col("_rest")).groupBy("p.source")
-        .agg(*[F.first(c).alias(c) for c in ("source_size", "target", "epochs", "_rest")], F.min(F.struct("_bucket", (F.col("_upto") - F.col("_sum")).alias("_before"))).alias("_end"))
-        .select(F.col("source").alias("_source"), "source_size", "target", "epochs", "_rest", "_end._before", F.col("_end._bucket").alias("_end"))
-    )
-    joined = drawn.join(ends, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rest = F.expr("cast(round(target) as bigint) % greatest(source_size, 1L)")
+    plans = targets.withColumns({"epochs": F.floor(budget / size), "_rest": rest, "_before": F.lit(0).cast("bigint")})
+    buckets = written(_ends(sums, plans), "buckets")
+    sources = buckets.count()
+    inside = _with_plan(drawn, buckets, sources).filter(F.col("_bucket") == F.col("_end"))
+    cells = written(_ends(inside.groupBy("source", F.col("_cell").alias("_slot")).agg(F.sum("size").alias("_sum")), buckets), "cells")
+    joined = _with_plan(drawn, cells, sources)
     place = Window.partitionBy("source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    at_end = joined.filter(F.col("_bucket") == F.col("_end")).withColumn("_ahead", F.col("_before") + F.coalesce(F.sum("size").over(place), F.lit(0)))
+    at_end = joined.filter(F.col("_cell") == F.col("_end")).withColumn("_ahead", F.col("_before") + F.coalesce(F.sum("size").over(place), F.lit(0)))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_ahead")))
-    clear = F.when(F.col("_bucket") < F.col("_end"), F.col("size")).otherwise(F.lit(0))
+    clear = F.when(F.col("_cell") < F.col("_end"), F.col("size")).otherwise(F.lit(0))
     shown = ["doc_id", "source", "size", "source_size", "target", "epochs", "_hash"]
     taken = lambda extra: (F.col("epochs") * F.col("size") + extra).cast("bigint").alias("taken")
-    others = joined.filter(F.col("_bucket") != F.col("_end"))
+    others = joined.filter(F.col("_cell") != F.col("_end"))
     return at_end.select(*shown, taken(part)).unionByName(others.select(*shown, taken(clear)))
 
 
