@@ -131,16 +131,16 @@ def _moments(df: DataFrame) -> DataFrame:
 def _start(vectors: DataFrame) -> DataFrame:
     """Estimates from coordinatewise medians and median absolute deviations, by histograms of integer steps."""
 
-    def middles(values: DataFrame, out: str) -> DataFrame:
-        counts = values.groupBy("g", "f", "v").agg(F.count(F.lit(1)).alias("n"))
+    def middles(counts: DataFrame, out: str) -> DataFrame:
         upto = F.sum("n").over(Window.partitionBy("g", "f").orderBy("v"))
         total = F.sum("n").over(Window.partitionBy("g", "f"))
         return counts.withColumn("_hit", 2 * upto >= total).filter("_hit").groupBy("g", "f").agg(F.min("v").alias(out))
 
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).alias("v")) for i, c in enumerate(FEATURES)])).alias("x")
-    long = vectors.select("g", pairs).select("g", "x.f", "x.v")
-    medians = middles(long, "m")
-    off = long.join(medians, ["g", "f"]).select("g", "f", F.abs(F.col("v") - F.col("m")).alias("v"))
+    counts = vectors.select("g", pairs).groupBy("g", "x.f", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    medians = middles(counts, "m")
+    # Deviations are counted from the counted values: no document goes to its group's task.
+    off = counts.join(medians, ["g", "f"]).groupBy("g", "f", F.abs(F.col("v") - F.col("m")).alias("v")).agg(F.sum("n").alias("n"))
     both = medians.join(middles(off, "d"), ["g", "f"])
     wide = both.groupBy("g").agg(*[F.max(F.when(F.col("f") == i, F.col(c))).cast("double").alias(f"{c}{i}") for i in range(len(FEATURES)) for c in ("m", "d")])
     zero = {f"w{i}_{j}": F.lit(0.0) for i in range(len(FEATURES)) for j in range(i)}
