@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.session import written
 
+# Parts into which the rows of one group are dealt.
+SALTS = 1024
+
+
+def salt(of: str) -> Column:
+    return F.pmod(F.xxhash64(of), F.lit(SALTS)).cast("int")
+
+
+def group_least(rows: DataFrame, group: str, unit: str, value: str) -> DataFrame:
+    """A row per group: the least ``value`` as least, and the salts of ``unit`` that its rows have as salts."""
+    parts = rows.groupBy(group, salt(unit).alias("_salt")).agg(F.min(value).alias("least"))
+    return parts.groupBy(group).agg(F.min("least").alias("least"), F.collect_list("_salt").alias("salts"))
+
+
+def join_back(rows: DataFrame, groups: DataFrame, group: str, unit: str) -> DataFrame:
+    """``rows`` with the columns of their group, joined by group and salt: a group may hold any share of the rows."""
+    return rows.withColumn("_salt", salt(unit)).join(groups.withColumn("_salt", F.explode("salts")).drop("salts"), [group, "_salt"]).drop("_salt")
+
+
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """node, label: the smallest node reachable, for every node of the edges (a, b).

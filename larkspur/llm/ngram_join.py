@@ -12,7 +12,8 @@
    that link with one of the list's pivots are connected already and need a search of their own only where
    they are near another pivot's group; so a list of thousands of near copies costs a comparison each, and
    no pairs are written.
-5. Links join classes to components.
+5. Links join classes to components. Least ids go back to classes and documents by group and salt, so that
+   a component or a set of copies may hold a third of all rows.
 
 Edge cases: NULL, empty and blank texts have no n-grams and link with nothing. A shorter text is one n-gram
 of all its words. A NULL doc_id takes part and is never a component's id where another is. Repeated rows are
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import store
-from larkspur.llm.components import components
+from larkspur.llm.components import components, group_least, join_back
 from larkspur.llm.counting import PACKED, merge, pack
 from larkspur.llm.hashing import grouped, mix, shingle_sets
 from larkspur.llm.text import carried, unpacked
@@ -258,12 +259,14 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str =
     classes = every.filter("tokens is not null").select("key", F.col("n_shingles").alias("n"), "tokens", "prefix").dropDuplicates(["key"])
     found = store_sets(classes, folder)
     labels = components(links(found, folder, percent))
-    named = every.join(labels, every.key == labels.node, "left").withColumn("_label", F.coalesce("label", "key"))
-    named = named.select("doc_id", "n_shingles", "key", "_label")
-    full = named.filter("n_shingles > 0")
-    least = full.groupBy("_label").agg(F.min("doc_id").alias("component_id"))
-    out = full.join(least, "_label").select("doc_id", "n_shingles", "key", "component_id")
-    return out.unionByName(named.filter("n_shingles = 0").select("doc_id", "n_shingles", "key", F.col("doc_id").alias("component_id")))
+    shown = every.select("doc_id", "n_shingles", "key")
+    full = shown.filter("n_shingles > 0")
+    sets_of = group_least(full, "key", "doc_id", "doc_id").withColumnsRenamed({"least": "_first", "salts": "_parts"})
+    named = sets_of.join(labels, sets_of.key == labels.node, "left").withColumn("_label", F.coalesce("label", "key"))
+    named = join_back(named, group_least(named, "_label", "key", "_first"), "_label", "key")
+    classed = named.select("key", F.col("least").alias("component_id"), F.col("_parts").alias("salts"))
+    out = join_back(full, classed, "key", "doc_id").select("doc_id", "n_shingles", "key", "component_id")
+    return out.unionByName(shown.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id")))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, **options) -> DataFrame:
