@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import language_model, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, repeats, tokens, topk
+from larkspur.llm import components, language_model, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, repeats, tokens, topk
 from larkspur.llm.queries import QUERIES
 from larkspur.llm.suffix_array import suffix_array
 
@@ -329,3 +329,17 @@ def test_pipeline_stages(spark, odd_docs):
     assert {r.doc_id for r in good.collect()} == kept
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and {r.doc_id for r in rows} <= kept
+
+
+# -- least values of hot groups ----------------------------------------------------------------------
+
+
+def test_group_least_joins_back_every_row(spark):
+    rows = [("hot" if i % 3 else f"g{i}", None if i % 7 == 0 else i) for i in range(4000)] + [("nulls", None), ("hot", 5), ("hot", 5)]
+    df = spark.createDataFrame(rows, "g string, i bigint")
+    groups = components.group_least(df, "g", "i", "i")
+    found = Counter((r.g, r.i, r.least) for r in components.join_back(df, groups, "g", "i").collect())
+    least = {g: min((i for h, i in rows if h == g and i is not None), default=None) for g, _ in rows if g in ("hot", "nulls")}
+    assert found == Counter((g, i, least[g] if g in least else i) for g, i in rows)
+    hot = groups.filter("g = 'hot'").first()
+    assert len(hot.salts) == len(set(hot.salts)) > 500
