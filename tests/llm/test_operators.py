@@ -106,20 +106,35 @@ def test_packing_plan_holds_everything():
 def test_topk_with_ties_odd_vectors_and_wide_values(spark):
     rng = random.Random(2)
     rows = [(i, [rng.choice([0.5, -0.25, 3.0, 1e-3, -700.0]) for _ in range(6)]) for i in range(150)]
-    rows += [(150, None), (151, [1.0, None]), (152, [float("nan")]), (153, [float("inf")]), (154, [1.0]), (155, []), (156, rows[0][1]), (157, rows[0][1]), (50, rows[50][1])]
+    rows += [(150, None), (151, [1.0, None]), (152, [float("nan")]), (153, [float("inf")]), (154, [1.0]), (155, []), (156, rows[0][1]), (157, rows[0][1]), (50, rows[50][1]), (100, rows[7][1])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id bigint, embedding array<float>, score string")
     v = topk.quantised(df)
-    got = defaultdict(list)
-    for r in topk.top_k(v, v.filter("vec_id % 50 = 0"), block_rows=64).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.score, r.vec_id))
+    got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(v, v.filter("vec_id % 50 = 0"), block_rows=64).collect())
     usable = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    for q, a in [x for x in usable if x[0] % 50 == 0]:
+    expected = Counter()
+    for q, a in [x for x in usable if x[0] % 50 == 0]:  # a query a row: one id asked twice, another with two vectors
         scores = sorted(((sum(x * y for x, y in zip(a, b)), i) for i, b in usable if i != q), key=lambda s: (-s[0], s[1]))
-        expected = scores[:5]
-        assert [s for s, _ in got[q]][:5] == [s for s, _ in expected]
+        expected.update((q, k, i, s) for k, (s, i) in enumerate(scores[:5], 1))
+    assert got == expected
     assert topk.top_k(v.limit(0), v).count() == 0
 
 
+# -- line dedup --------------------------------------------------------------------------------------
+
+
+def test_keep_bitmaps_hold_only_words_that_lose_lines(spark):
+    line = "a line that is long enough to be a key of its own, number "
+    long = [f"{i}" if i not in (3, 64, 700) else f"{line}{i}" for i in range(900)]
+    rows = [(0, "\n".join(long))] + [(i, "\n".join(f"{line}{k}" for k in (3, 64, 700))) for i in range(1, 6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r._id: {w["at"]: w["bits"] for w in r.keep} for r in line_dedup.keep_bitmaps(df).collect()}
+    every = (1 << 64) - 1
+    assert found[0] == {0: (every ^ 1 << 3) - (1 << 64), 1: (every ^ 1) - (1 << 64), 10: (every ^ 1 << 60) - (1 << 64)}
+    assert 5 not in found
+    kept = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert kept[0].text.split("\n") == [x for i, x in enumerate(long) if i not in (3, 64, 700)] and kept[0].n_dropped == 3
+
+
 # -- repeats and suffix arrays -----------------------------------------------------------------------
 
 
@@ -279,6 +294,83 @@ def test_quality_same_verdicts_by_shuffle(spark, docs, monkeypatch):
     assert shown() == expected
 
 
+# -- mixing ------------------------------------------------------------------------------------------
+
+
+def plain_mix(rows):
+    """Taken words of each row: {(doc_id, text, source): sorted list}, by the order of keys."""
+    import hashlib
+    import math
+    import re
+
+    def key(i, text):
+        name = str(i)
+        u = (int(hashlib.md5(f"mix-1:{name}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        marks = len(re.findall(r"[#*$%&|<>]", text or ""))
+        return -math.log(u) / (1 / (1 + 20 * marks / max(len(text or ""), 1)))
+
+    by_source = defaultdict(list)
+    for i, text, source in rows:
+        by_source[source].append((key(i, text), i, len(brute.words(text)), text))
+    sizes = {s: sum(x[2] for x in found) for s, found in by_source.items()}
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    targets, left = {}, 1.5 * sum(sizes.values())
+    open_ = list(order)
+    while True:
+        level = left / sum(weight[s] for s in open_) if open_ else 0
+        full = [s for s in open_ if weight[s] * level > 2 * sizes[s]]
+        if not full:
+            break
+        for s in full:
+            targets[s] = 2 * sizes[s]
+            left -= targets[s]
+            open_.remove(s)
+    targets |= {s: weight[s] * level for s in open_}
+    out = defaultdict(list)
+    for s, found in by_source.items():
+        budget = round(targets[s])
+        epochs, rest = divmod(budget, max(1, sizes[s]))
+        for _, i, size, text in sorted(found, key=lambda x: x[:3]):
+            part = min(size, rest)
+            rest -= part
+            out[i, text, s].append(epochs * size + part)
+    return {k: sorted(v) for k, v in out.items()}, targets
+
+
+def test_mix_deals_each_of_repeated_rows_its_share(spark):
+    rng = random.Random(9)
+    rows = [(1, "one two three four five " * 5, "a")] * 30 + [(2, "six seven", "a")] * 7 + [(i, "word " * rng.randint(0, 9), rng.choice("ab")) for i in range(10, 40)]
+    rows += [(3, "some % marks # here", "b")] * 11 + [(3, "some % marks # here", None)] * 5 + [(50, None, "a"), (51, "", None)]
+    df = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id bigint, text string, source string, n_copies string, _size int").repartition(5)
+    expected, targets = plain_mix(rows)
+    for _ in range(2):
+        found = defaultdict(list)
+        for r in mixing.mix(df).collect():
+            found[r.doc_id, r.text, r.source].append(r.taken_words)
+            size = len(brute.words(r.text))
+            assert r.n_copies == -(-r.taken_words // max(size, 1)) and r.taken_words <= 2 * size
+        assert {k: sorted(v) for k, v in found.items()} == {k: [x for x in v if x] for k, v in expected.items() if any(v)}
+    allotted = defaultdict(list)
+    for r in mixing.allot(df).collect():
+        allotted[r.doc_id, r.source].append(r.taken)
+    assert {k: sorted(v) for k, v in allotted.items()} == {(i, s): v for (i, _, s), v in expected.items()}
+    words = defaultdict(int)
+    for (_, _, s), taken in expected.items():
+        words[s] += sum(taken)
+    assert all(abs(words[s] - targets[s]) <= 1 for s in words)
+
+
+def test_mix_with_null_ids_reaches_its_targets(spark, odd_docs):
+    by_source, target = defaultdict(int), {}
+    many = odd_docs.unionAll(odd_docs.withColumn("doc_id", F.lit(None).cast("bigint")))
+    for r in mixing.allot(many).collect():
+        target[r.source] = r.target
+    for r in mixing.mix(many).collect():
+        by_source[r.source] += r.taken_words
+    assert all(abs(by_source[s] - t) <= 1 for s, t in target.items())
+
+
 # -- odd and empty tables ----------------------------------------------------------------------------
 
 WHOLE = {
