@@ -2,22 +2,23 @@
 
 Only hashes travel: occurrences of long lines are range partitioned by key hash with a secondary sort by
 document and position, first occurrences per document are streamed out of the sorted runs, and what comes
-back is a bitmap per document (a bit per line, 64 to a long, trailing kept lines left off), not text. A
-key may be in a third of all documents, so its occurrences are salted by document and split over ranges
-before the streaming pass, and the keys join back by salt too.
+back is a compressed keep bitmap per document, not text: of its words of 64 lines only those that lose a
+line, by their place; all other words are ones. A key may be in a third of all documents, so its occurrences
+are salted by document and split over ranges before the streaming pass, and the keys join back by salt too.
 
 Edge cases: NULL or empty text is one empty line, which stays. A NULL doc_id counts as one document below
-all others. Rows with the same doc_id count as one document; identical rows have identical results. Empty
-tables give empty results, and extra columns are carried through ``dedup_lines`` unless they clash with
-n_lines or n_dropped, which are replaced.
+all others. Rows with the same doc_id count as one document, however often they repeat a line; identical
+rows have identical results. Very long texts are split whole, and their bitmaps grow with dropped lines
+only. Empty tables give empty results, and extra columns are carried through ``dedup_lines`` unless they
+clash with n_lines or n_dropped, which are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.text import ascii_lower, carried, cell, lines, stripped, unpacked
+from larkspur.llm.text import ascii_lower, carried, cell, let, lines, stripped, unpacked
 from larkspur.session import written
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -54,32 +55,40 @@ def repeated_keys(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return keys.filter(F.col("_n") >= min_docs).select("_k1", "_k2", F.explode("_salts").alias("_salt"), "_keeper")
 
 
-def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """_id, _hash, drop_words: a row per document that loses lines; bit i % 64 of word i // 64 marks line i."""
+def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """_id, _hash, keep: a row per document that loses lines. ``keep`` holds, in order, the words of the keep
+    bitmap that are not all ones: bit i % 64 of the word with ``at`` = i // 64 is set where line i stays."""
     found = written(occurrences(docs, id_col, text_col, min_chars), "lines")
     keys = repeated_keys(found, min_docs)
     lost = found.join(keys, ["_k1", "_k2", "_salt"]).filter(~F.col("_id").eqNullSafe(F.col("_keeper")))
     word = F.expr("cast(_pos div 64 as int)")
-    bits = lost.groupBy("_id", "_hash", word.alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, _pos % 64)")).alias("_bits"))
-    sparse = bits.groupBy("_id", "_hash").agg(
-        F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_sparse"), F.max("_word").alias("_last")
-    )
-    dense = F.transform(F.sequence(F.lit(0), F.col("_last")), lambda w: F.coalesce(F.try_element_at(F.col("_sparse"), w), F.lit(0).cast("bigint")))
-    return sparse.select("_id", "_hash", dense.alias("drop_words"))
+    bits = lost.groupBy("_id", "_hash", word.alias("at")).agg(F.bitwise_not(F.bit_or(F.expr("shiftleft(1L, _pos % 64)"))).alias("bits"))
+    return bits.groupBy("_id", "_hash").agg(F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("keep"))
+
+
+def unpacked_bitmap(keep: Column) -> Column:
+    """All words of a bitmap up to its last that is not all ones."""
+
+    def expand(word: Column, i: Column) -> Column:
+        gap = word["at"] - F.coalesce(F.get(keep, i - 1)["at"], F.lit(-1)) - 1
+        return F.concat(F.array_repeat(F.lit(-1).cast("bigint"), gap), F.array(word["bits"]))
+
+    return F.flatten(F.transform(keep, expand))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents with their kept lines joined again, and n_lines and n_dropped."""
-    bitmaps = drop_bitmaps(docs, id_col, text_col, min_chars, min_docs)
+    bitmaps = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs)
     docs = docs.drop("n_lines", "n_dropped")
     own, text_hash = _row_key(id_col, text_col)
     keyed = carried(docs, _own=own, _own_hash=text_hash)
-    joined = keyed.join(bitmaps.hint("shuffle_hash"), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")), "left")
+    joined = keyed.join(bitmaps, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")), "left")
     text = F.coalesce(cell(docs, text_col), F.lit(""))
     every = lines(text)
-    kept = F.filter(every, lambda _, i: F.coalesce(F.getbit(F.get(F.col("drop_words"), F.floor(i / 64).cast("int")), i % 64), F.lit(0)) == 0)
-    dropped = F.aggregate(F.col("drop_words"), F.lit(0).cast("bigint"), lambda n, w: n + F.bit_count(w))
+    stays = lambda words, i: F.coalesce(F.getbit(F.get(words, F.floor(i / 64).cast("int")), i % 64), F.lit(1)) == 1
+    kept = let(unpacked_bitmap(F.col("keep")), lambda words: F.filter(every, lambda _, i: stays(words, i)))
+    dropped = F.aggregate(F.col("keep"), F.lit(0).cast("bigint"), lambda n, w: n + 64 - F.bit_count(w["bits"]))
     return joined.select(
-        *unpacked(docs, **{text_col: F.when(F.col("drop_words").isNull(), text).otherwise(F.array_join(kept, "\n"))}),
+        *unpacked(docs, **{text_col: F.when(F.col("keep").isNull(), text).otherwise(F.array_join(kept, "\n"))}),
         F.size(every).cast("bigint").alias("n_lines"), F.coalesce(dropped, F.lit(0)).cast("bigint").alias("n_dropped"),
     )
