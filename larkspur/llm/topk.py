@@ -12,8 +12,11 @@ Queries and rows meet by block number: an equality join of query batches with bl
 against all rows in blocks.
 
 Edge cases: vectors that are NULL or hold NULL or non-finite components take no part; shorter vectors
-count as padded with zeros. Rows with the query's own id are never its candidates, repeated ones included; an id asked with
-several vectors is asked once, with the least. Ties go to the smaller vec_id. Fewer candidates than k give them all. Extra columns are left out.
+count as padded with zeros. Rows with the query's own id are never its candidates, repeated ones included.
+Every query row has its own answer: equal rows are searched once and answered each, an id asked with
+several vectors is answered for each. Of candidates repeated under one id each row counts. Ties go to the
+smaller vec_id. Fewer candidates than k give them all. Extra columns are left out; empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.session import written
+
 SCALE, K, SLICES = 256, 5, 5
 BLOCK_ROWS, BATCH_QUERIES = 65_536, 4_096
 # Tasks wanted at least: small inputs have few blocks, so queries are dealt over copies of them.
@@ -158,7 +163,9 @@ def search_block(ids: np.ndarray, m: np.ndarray, both: np.ndarray, shift: int, s
 def top_k(df: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score. Both frames: vec_id, v (see ``quantised``)."""
     spark = df.sparkSession
-    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked_rows = queries.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("times"))
+    # Vectors asked under one id are numbered in their order.
+    queries = written(asked_rows.withColumn("nth", F.row_number().over(Window.partitionBy("vec_id").orderBy("v"))), "queries")
     span = F.aggregate(F.col("v"), F.lit(None).cast("bigint"), lambda a, x: F.least(a, x)), F.aggregate(F.col("v"), F.lit(None).cast("bigint"), lambda a, x: F.greatest(a, x))
     n, low, high, dims = df.agg(F.count(F.lit(1)), F.min(span[0]), F.max(span[1]), F.max(F.size("v"))).first()
     n_queries, q_dims = queries.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
@@ -180,11 +187,12 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLOCK
         return pd.DataFrame([(int(pdf.block.iloc[0]), *payload)], columns=["block", "ids", "matrix", "slices"])
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(int(pdf.batch.iloc[0]), pdf.vec_id.to_numpy("<i8").tobytes(), _matrix(pdf.v, dims).tobytes())], columns=["batch", "q_ids", "q_matrix"])
+        parts = [pdf[c].to_numpy("<i8").tobytes() for c in ("vec_id", "nth", "times")]
+        return pd.DataFrame([(int(pdf.batch.iloc[0]), *parts, _matrix(pdf.v, dims).tobytes())], columns=["batch", "q_ids", "q_nth", "q_times", "q_matrix"])
 
     part = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
     blocks = df.withColumn("block", part(n_blocks)).groupBy("block").applyInPandas(build, "block int, ids binary, matrix binary, slices binary")
-    batches = queries.withColumn("batch", part(n_batches)).groupBy("batch").applyInPandas(gather, "batch int, q_ids binary, q_matrix binary")
+    batches = queries.withColumn("batch", part(n_batches)).groupBy("batch").applyInPandas(gather, "batch int, q_ids binary, q_nth binary, q_times binary, q_matrix binary")
     rows = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     asked = batches.withColumn("copy", (F.col("batch") % copies).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     kind = _small(np.zeros(1, dtype=np.int64), low, high).dtype
@@ -197,10 +205,13 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLOCK
                 both = np.concatenate([plain, ~plain])
                 asked_ids, vectors = np.frombuffer(r.q_ids, "<i8"), np.frombuffer(r.q_matrix, "<i8").reshape(-1, dims)
                 found = [search_block(ids, m, both, shift, slices, int(q), v, k) for q, v in zip(asked_ids, vectors, strict=True)]
+                sizes = [len(x[0]) for x in found]
+                about = {name: np.repeat(np.frombuffer(getattr(r, f"q_{name}"), "<i8"), sizes) for name in ("ids", "nth", "times")}
                 yield pd.DataFrame({
-                    "query_id": np.repeat(asked_ids, [len(x[0]) for x in found]), "vec_id": np.concatenate([x[0] for x in found]), "score": np.concatenate([x[1] for x in found])
+                    "query_id": about["ids"], "nth": about["nth"], "times": about["times"], "vec_id": np.concatenate([x[0] for x in found]), "score": np.concatenate([x[1] for x in found])
                 })
 
-    best = rows.join(asked, ["block", "copy"]).mapInPandas(search, "query_id bigint, vec_id bigint, score bigint")
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", order).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = rows.join(asked, ["block", "copy"]).mapInPandas(search, "query_id bigint, nth bigint, times bigint, vec_id bigint, score bigint")
+    order = F.row_number().over(Window.partitionBy("query_id", "nth").orderBy(F.desc("score"), "vec_id"))
+    kept = best.withColumn("rank", order).filter(F.col("rank") <= k)
+    return kept.withColumn("_each", F.explode(F.sequence(F.lit(1).cast("bigint"), "times"))).select("query_id", "rank", "vec_id", "score")
