@@ -1,7 +1,8 @@
 """Tokenization by public vocabularies, and the exact length histogram of a corpus.
 
-Edge cases: NULL text counts as empty; empty corpora give an empty histogram; any columns beside the
-text are left alone; repeated rows count each.
+Edge cases: NULL and empty texts have length 0; empty corpora give an empty histogram; any columns beside
+the text are left alone, whatever their names; repeated rows and equal lengths count each. Very long texts
+are encoded whole, part by part between blanks.
 """
 
 from __future__ import annotations
@@ -144,14 +145,17 @@ def length_histogram(docs: DataFrame, path: str | None = None, text: str = "text
 def at_limit(histogram: DataFrame, limits: list[int]) -> DataFrame:
     """Totals for any context limits, lengths in the corpus or not, from the histogram alone."""
     spark = histogram.sparkSession
-    asked = spark.createDataFrame([(x,) for x in limits], "context_limit bigint")
-    n, k = F.col("n_docs"), F.col("n_tokens")
-    joined = asked.join(histogram.select("n_tokens", "n_docs"), how="left", on=F.lit(True))
-    return joined.groupBy("context_limit").agg(
-        F.sum(F.when(k <= F.col("context_limit"), n).otherwise(0)).alias("docs_fitting"),
-        F.sum(n * F.least(k, F.col("context_limit"))).alias("truncated_tokens"),
-        F.sum(n * F.greatest(k - F.col("context_limit"), F.lit(0))).alias("tokens_lost"),
-    )
+    asked = spark.createDataFrame([(x, 0, True) for x in sorted(set(limits))], "n_tokens bigint, n_docs bigint, asked boolean")
+    both = histogram.select("n_tokens", "n_docs", F.lit(False).alias("asked")).unionAll(asked)
+    # Lengths up to a limit come before it, a limit itself last.
+    upto = Window.orderBy("n_tokens", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.orderBy("n_tokens", "asked").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tokens, limit = F.col("n_tokens") * F.col("n_docs"), F.col("n_tokens")
+    sums = both.select("n_tokens", "asked", *[F.sum(v).over(w).alias(k) for k, v, w in (
+        ("docs_fitting", F.col("n_docs"), upto), ("_short", tokens, upto), ("_docs", F.col("n_docs"), whole), ("_tokens", tokens, whole)
+    )])
+    cut = F.col("_short") + limit * (F.col("_docs") - F.col("docs_fitting"))
+    return sums.filter("asked").select(limit.alias("context_limit"), "docs_fitting", cut.alias("truncated_tokens"), (F.col("_tokens") - cut).alias("tokens_lost"))
 
 
 def quantile(histogram: DataFrame, q: float) -> int | None:
