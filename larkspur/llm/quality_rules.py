@@ -2,15 +2,20 @@
 
 Each document has integer statistics; documents that fail the base rules go. The others are vectors of
 transformed statistics, in integer steps so that sums are exact whatever their order. Per language and
-source a minimum covariance determinant estimate is found by concentration steps: from coordinatewise
-medians, the COVER share of nearest documents gives mean and covariance, which give new distances, and so
-on. Thresholds come of histograms of distances (integer counts), so no group is sorted or collected. A
-document is rejected when its Mahalanobis distance under the last estimate exceeds the limit. Groups of
-fewer than MIN_GROUP documents borrow their language's estimate, small languages that of all documents.
-FLOORS keep statistics that hardly vary from rejecting small deviations.
+source a minimum covariance determinant estimate is searched from several starts: coordinatewise medians,
+and STARTS subsets of about SUBSET documents drawn by digest. A concentration step takes the COVER share of
+documents nearest to an estimate and gives their mean and covariance. Every start makes FIRST_STEPS steps;
+the one of least determinant goes on until its determinant falls no more, and the least one met wins. The
+radius that covers the share comes of a histogram of distances (integer counts), so no group is sorted or
+collected: it is the upper edge of a bin of 1/256 of an octave. A document is rejected when its Mahalanobis
+distance under the estimate exceeds the limit. Groups of fewer than MIN_GROUP documents borrow their
+language's estimate, small languages that of all documents. FLOORS keep statistics that hardly vary from
+rejecting small deviations.
 
 Edge cases: NULL and blank texts have no words and fail the base rules. NULL language or source is a
-group value. Repeated rows count each. Empty tables give empty results.
+group value. Repeated rows count each; documents of equal distance are covered together. Very long texts
+are measured whole. Extra columns are left out of ``verdicts`` and survive ``keep_good``, whatever their
+names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,7 +27,10 @@ from larkspur.llm.text import SPACE, carried, let, lines, stripped, unpacked, wo
 from larkspur.session import written
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
-COVER, STEPS, MIN_GROUP = 0.75, 3, 200
+COVER, MIN_GROUP = 0.75, 200
+STARTS, SUBSET, FIRST_STEPS, MOST_STEPS = 5, 6, 2, 30
+# Bins per octave of a distance.
+BINS = 256
 # 0.9999 quantile of chi-square with 5 degrees of freedom, and the consistency factor of a
 # 0.75 cover in 5 dimensions.
 LIMIT, CONSISTENCY = 25.74, 1.43
@@ -30,8 +38,8 @@ FEATURES = ("f_length", "f_symbols", "f_upper", "f_lines", "f_repeat")
 # Steps per unit of a transformed statistic, and the least deviation, in units, that counts as usual.
 UNIT = 256
 FLOORS = (0.06, 0.06, 0.06, 0.08, 0.06)
-# Broadcast group estimates only up to so many groups; beyond, they are joined by shuffle.
-BROADCAST_GROUPS = 20_000
+# Broadcast group estimates only up to so many groups; beyond, they are joined by shuffle, a group's rows in so many parts.
+BROADCAST_GROUPS, SALTS = 20_000, 64
 
 
 def _repeated(found: Column, n: Column) -> Column:
@@ -88,7 +96,7 @@ def _features() -> list[Column]:
 
 
 def _solved(stats: DataFrame) -> DataFrame:
-    """From counts, sums and product sums: group, means m_i and w_ij, the inverse Cholesky factor of the covariance."""
+    """From counts, sums and product sums of (g, start): means m_i, the inverse Cholesky factor w_ij of the covariance, and log_det."""
     p, n = len(FEATURES), F.col("n").cast("double")
     df = stats.withColumns({f"m{i}": F.col(f"s{i}") / n for i in range(p)})
     for i in range(p):
@@ -106,7 +114,11 @@ def _solved(stats: DataFrame) -> DataFrame:
             f"w{i}_{j}": F.lit(1.0) / F.col(f"l{i}_{i}") if i == j
             else -sum((F.col(f"l{i}_{k}") * F.col(f"w{k}_{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}_{i}") for j in range(i + 1)
         })
-    return df.select("g", *[f"m{i}" for i in range(p)], *[f"w{i}_{j}" for i in range(p) for j in range(i + 1)])
+    return df.withColumn("log_det", 2 * sum((F.ln(f"l{i}_{i}") for i in range(1, p)), F.ln("l0_0"))).select(*ESTIMATE)
+
+
+# The columns of an estimate.
+ESTIMATE = ["g", "start", *[f"m{i}" for i in range(len(FEATURES))], *[f"w{i}_{j}" for i in range(len(FEATURES)) for j in range(i + 1)], "log_det"]
 
 
 def _distance() -> Column:
@@ -118,18 +130,22 @@ def _distance() -> Column:
     return total
 
 
-def _with(df: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
-    return df.join(F.broadcast(estimates) if groups <= BROADCAST_GROUPS else estimates, "g")
+def _with(df: DataFrame, known: DataFrame, groups: int, on: tuple[str, ...] = ("g",)) -> DataFrame:
+    """``df`` (with _tie, a digest of the row) joined with what is known of its group."""
+    if groups <= BROADCAST_GROUPS:
+        return df.join(F.broadcast(known), list(on))
+    salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("_salt", F.pmod("_tie", F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"]).drop("_salt")
 
 
 def _moments(df: DataFrame) -> DataFrame:
     p = len(FEATURES)
     sums = {f"s{i}": F.sum(FEATURES[i]) for i in range(p)} | {f"s{i}_{j}": F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i in range(p) for j in range(i + 1)}
-    return df.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in sums.items()])
+    return df.groupBy("g", "start").agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in sums.items()])
 
 
-def _start(vectors: DataFrame) -> DataFrame:
-    """Estimates from coordinatewise medians and median absolute deviations, by histograms of integer steps."""
+def _medians(vectors: DataFrame) -> DataFrame:
+    """Estimates (start 0) from coordinatewise medians and median absolute deviations, by histograms of integer steps."""
 
     def middles(counts: DataFrame, out: str) -> DataFrame:
         upto = F.sum("n").over(Window.partitionBy("g", "f").orderBy("v"))
@@ -142,24 +158,50 @@ def _start(vectors: DataFrame) -> DataFrame:
     # Deviations are counted from the counted values: no document goes to its group's task.
     off = counts.join(medians, ["g", "f"]).groupBy("g", "f", F.abs(F.col("v") - F.col("m")).alias("v")).agg(F.sum("n").alias("n"))
     both = medians.join(middles(off, "d"), ["g", "f"])
-    wide = both.groupBy("g").agg(*[F.max(F.when(F.col("f") == i, F.col(c))).cast("double").alias(f"{c}{i}") for i in range(len(FEATURES)) for c in ("m", "d")])
-    zero = {f"w{i}_{j}": F.lit(0.0) for i in range(len(FEATURES)) for j in range(i)}
-    scale = {f"w{i}_{i}": 1 / F.sqrt((1.4826 * F.col(f"d{i}")) ** 2 + (FLOORS[i] * UNIT) ** 2) for i in range(len(FEATURES))}
-    return wide.withColumns(zero | scale).drop(*[f"d{i}" for i in range(len(FEATURES))])
-
-
-def estimates(vectors: DataFrame, groups: int, steps: int = STEPS, cover: float = COVER) -> DataFrame:
-    """Minimum covariance determinant estimate of each group ``g`` of integer vectors."""
-    found = written(_start(vectors), "estimate")
-    for _ in range(steps):
-        near = _with(vectors, found, groups).withColumn("_bin", F.least(F.floor(32 * F.log2(1 + _distance())), F.lit(2000)).cast("int"))
-        counts = near.groupBy("g", "_bin").agg(F.count(F.lit(1)).alias("n"))
-        upto = F.sum("n").over(Window.partitionBy("g").orderBy("_bin"))
-        total = F.sum("n").over(Window.partitionBy("g"))
-        edges = counts.withColumn("_hit", upto >= cover * total).filter("_hit").groupBy("g").agg(F.min("_bin").alias("_edge"))
-        inside = near.join(F.broadcast(edges) if groups <= BROADCAST_GROUPS else edges, "g").filter(F.col("_bin") <= F.col("_edge"))
-        found = written(_solved(_moments(inside)), "estimate")
-    return found
+    p = len(FEATURES)
+    wide = both.groupBy("g").agg(*[F.max(F.when(F.col("f") == i, F.col(c))).cast("double").alias(f"{c}{i}") for i in range(p) for c in ("m", "d")])
+    variance = lambda i: (1.4826 * F.col(f"d{i}")) ** 2 + (FLOORS[i] * UNIT) ** 2
+    made = {f"w{i}_{j}": F.lit(0.0) for i in range(p) for j in range(i)} | {f"w{i}_{i}": 1 / F.sqrt(variance(i)) for i in range(p)}
+    return wide.withColumns(made | {"start": F.lit(0), "log_det": sum((F.ln(variance(i)) for i in range(1, p)), F.ln(variance(0)))}).select(*ESTIMATE)
+
+
+def _subsets(vectors: DataFrame, groups: int) -> DataFrame:
+    """Estimates (starts 1 to STARTS) from subsets of about SUBSET rows that a digest draws."""
+    sizes = vectors.groupBy("g").agg(F.count(F.lit(1)).alias("_of"))
+    drawn = lambda k: F.pmod(F.xxhash64(F.lit(k), "_tie"), F.lit(1 << 31)) * F.col("_of") < SUBSET * (1 << 31)
+    starts = F.array_compact(F.array(*[F.when(drawn(k), F.lit(k)) for k in range(1, STARTS + 1)]))
+    return _solved(_moments(_with(vectors, sizes, groups).withColumn("start", F.explode(starts))))
+
+
+def starting(vectors: DataFrame, groups: int) -> DataFrame:
+    return _medians(vectors).unionByName(_subsets(vectors, groups))
+
+
+def concentrated(vectors: DataFrame, found: DataFrame, groups: int, cover: float = COVER) -> DataFrame:
+    """The estimates of the documents nearest to those ``found``."""
+    near = _with(vectors, found, groups).withColumn("_bin", F.floor(BINS * F.log2(1 + _distance())).cast("int"))
+    counts = near.groupBy("g", "start", "_bin").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("g", "start").orderBy("_bin"))
+    total = F.sum("n").over(Window.partitionBy("g", "start"))
+    edges = counts.withColumn("_hit", upto >= cover * total).filter("_hit").groupBy("g", "start").agg(F.min("_bin").alias("_edge"))
+    return _solved(_moments(_with(near, edges, groups, ("g", "start")).filter(F.col("_bin") <= F.col("_edge"))))
+
+
+def estimates(vectors: DataFrame, groups: int, cover: float = COVER) -> DataFrame:
+    """Minimum covariance determinant estimate of each group ``g`` of integer vectors. ``vectors``: g, FEATURES, _tie."""
+    found = written(starting(vectors, groups), "estimate")
+    for _ in range(FIRST_STEPS):
+        found = written(concentrated(vectors, found, groups, cover), "estimate")
+    least = lambda df: df.withColumn("_nth", F.row_number().over(Window.partitionBy("g").orderBy("log_det", "_step", "start"))).filter("_nth = 1").drop("_nth")
+    best = written(least(found.withColumn("_step", F.lit(0))), "estimate")
+    for step in range(1, MOST_STEPS):
+        going = best.filter(F.col("_step") == step - 1).drop("_step")
+        if not going.limit(1).count():
+            break
+        # A step that does not lower the determinant is not taken, and ends its group's search.
+        after = concentrated(vectors, going, groups, cover).withColumns({"_step": F.lit(step), "log_det": F.col("log_det") + 1e-9})
+        best = written(least(best.unionByName(after)), "estimate")
+    return best.drop("_step")
 
 
 def _group(lang: Column | None, source: Column | None) -> Column:
@@ -167,42 +209,49 @@ def _group(lang: Column | None, source: Column | None) -> Column:
     return F.concat_ws("\x01", shown(lang), shown(source))
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", limit: float = LIMIT) -> DataFrame:
-    """Statistics, base_failed, distance (NULL where the base failed) and kept of every row, with _hash of its text."""
-    stats = statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source")), "_text")
-    measured = written(
-        stats.select(
-            "doc_id", F.xxhash64(F.coalesce("_text", F.lit(""))).alias("_hash"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-            *_features(), _group(F.col("_lang"), F.col("_source")).alias("_own"), _group(F.col("_lang"), None).alias("_wide"),
-        ), "statistics",
-    )
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+_ALL = "*\x01*"
+
+
+def _judged(measured: DataFrame, shown: list[str], limit: float) -> DataFrame:
+    """``shown`` columns, distance and kept of every row of a written table of statistics (with _tie, _own, _wide)."""
     passed = measured.filter(~F.col("base_failed"))
     sizes = passed.groupBy("_own", "_wide").agg(F.count(F.lit(1)).alias("_n"))
     wide_n = F.sum("_n").over(Window.partitionBy("_wide"))
     g = F.when(F.col("_n") >= MIN_GROUP, F.col("_own")).when(wide_n >= MIN_GROUP, F.col("_wide")).otherwise(F.lit(_ALL))
     named = written(sizes.select("_own", g.alias("g")), "groups")
     groups = named.count()
-    chosen = passed.join(F.broadcast(named) if groups <= BROADCAST_GROUPS else named, "_own")
+    chosen = _with(passed, named, groups, ("_own",))
     # A shared estimate is made of all documents it stands for, those of large groups too.
     needed = named.select("g").distinct().filter(F.col("g").endswith("\x01*"))
-    shared = None
+    vectors = chosen.filter(~F.col("g").endswith("\x01*")).select("g", "_tie", *FEATURES)
     if needed.limit(1).count():
-        needed = F.broadcast(needed) if groups <= BROADCAST_GROUPS else needed
-        shared = passed.withColumn("g", F.explode(F.array(F.col("_wide"), F.lit(_ALL)))).join(needed, "g", "left_semi")
-    own = chosen.filter(~F.col("g").endswith("\x01*"))
-    vectors = own.select("g", *FEATURES).unionByName(shared.select("g", *FEATURES)) if shared is not None else own.select("g", *FEATURES)
+        shared = passed.withColumn("g", F.explode(F.array(F.col("_wide"), F.lit(_ALL))))
+        vectors = vectors.unionByName(_with(shared, needed, groups).select("g", "_tie", *FEATURES))
     scored = _with(chosen, estimates(vectors, groups), groups).withColumn("distance", _distance())
-    kept = scored.select(*measured.columns[:8], "distance", (F.col("distance") <= limit).alias("kept"))
-    lost = measured.filter("base_failed").select(*measured.columns[:8], F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
+    kept = scored.select(*shown, "distance", (F.col("distance") <= limit).alias("kept"))
+    lost = measured.filter("base_failed").select(*shown, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return kept.unionByName(lost)
 
 
-_ALL = "*\x01*"
+def _measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """Numbered columns of ``docs`` with its statistics, transformed ones, _tie, _own and _wide."""
+    keys = {"_id": F.col(id_col), "_text": F.col(text_col), "_lang": F.col(lang_col), "_source": F.col(source_col)}
+    stats = statistics(carried(docs, **keys), "_text")
+    tie = F.xxhash64(F.col("_id").cast("string"), F.col("_text")).alias("_tie")
+    groups = _group(F.col("_lang"), F.col("_source")).alias("_own"), _group(F.col("_lang"), None).alias("_wide")
+    return stats.select("_id", *[c for c in stats.columns if c.startswith("_carried")], *COUNTS, tie, *_features(), *groups)
+
+
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", limit: float = LIMIT) -> DataFrame:
+    """doc_id, statistics, base_failed, distance (NULL where the base failed) and kept of every row."""
+    measured = _measured(docs, id_col, text_col, lang_col, source_col)
+    measured = written(measured.drop(*[c for c in measured.columns if c.startswith("_carried")]), "statistics")
+    return _judged(measured.withColumnRenamed("_id", "doc_id"), ["doc_id", *COUNTS], limit)
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the rules keep."""
-    good = verdicts(docs, **options).filter("kept").select(F.col("doc_id").alias("_id"), "_hash").distinct()
-    keyed = carried(docs, _own=F.col(options.get("id_col", "doc_id")), _own_hash=F.xxhash64(F.coalesce(F.col(options.get("text_col", "text")), F.lit(""))))
-    on = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))
-    return keyed.join(good.hint("shuffle_hash"), on, "left_semi").select(*unpacked(docs))
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", limit: float = LIMIT) -> DataFrame:
+    """The documents that the rules keep. They are written beside their statistics once, and not shuffled."""
+    measured = written(_measured(docs, id_col, text_col, lang_col, source_col).drop("_id"), "measured")
+    held = [c for c in measured.columns if c.startswith("_carried")]
+    return _judged(measured, held, limit).filter("kept").select(*unpacked(docs))

@@ -63,7 +63,7 @@ def op8_mixing(spark, sf_dir):
 
 @query()
 def op9_quality_rules(spark, sf_dir):
-    return quality_rules.verdicts(documents(spark, sf_dir)).drop("_hash")
+    return quality_rules.verdicts(documents(spark, sf_dir))
 
 
 @query()

@@ -294,6 +294,59 @@ def test_quality_same_verdicts_by_shuffle(spark, docs, monkeypatch):
     assert shown() == expected
 
 
+def plain_least_determinant(x, starts):
+    """Concentration steps in numpy from given starts (mean, inverse factor): mean, inverse factor, log determinant."""
+    floors = np.diag([(f * quality_rules.UNIT) ** 2 for f in quality_rules.FLOORS])
+
+    def step(mean, inverse):
+        d = (((x - mean) @ inverse.T) ** 2).sum(axis=1)
+        bins = np.floor(quality_rules.BINS * np.log2(1 + d))
+        edge = np.sort(bins)[int(np.ceil(quality_rules.COVER * len(x))) - 1]
+        near = x[bins <= edge]
+        spread = np.cov(near.T, bias=True) * quality_rules.CONSISTENCY + floors
+        return near.mean(axis=0), np.linalg.inv(np.linalg.cholesky(spread)), np.linalg.slogdet(spread)[1]
+
+    tried = []
+    for start in starts:
+        for _ in range(quality_rules.FIRST_STEPS):
+            start = step(*start[:2])
+        tried.append(start)
+    best = min(tried, key=lambda t: t[2])
+    while (after := step(*best[:2]))[2] < best[2] - 1e-9:
+        best = after
+    return best
+
+
+def test_quality_estimates_are_the_least_determinants_found(spark):
+    rng, p = np.random.default_rng(10), len(quality_rules.FEATURES)
+    groups = {}
+    for g in ("a", "b", "c"):
+        clean = rng.normal(0, 1, (300, p)) @ rng.normal(0, 60, (p, p)) + 400
+        groups[g] = np.round(np.concatenate([clean, rng.normal(1500, 20, (90, p))])).astype(int)
+    rows = [(g, int(rng.integers(1 << 60)), *map(int, v)) for g, found in groups.items() for v in found]
+    names = ", ".join(f"{f} bigint" for f in quality_rules.FEATURES)
+    vectors = spark.createDataFrame(rows, f"g string, _tie bigint, {names}").cache()
+
+    def plain(r):
+        inverse = np.zeros((p, p))
+        for i in range(p):
+            for j in range(i + 1):
+                inverse[i, j] = r[f"w{i}_{j}"]
+        return np.array([r[f"m{i}"] for i in range(p)]), inverse, r.log_det
+
+    starts = defaultdict(list)
+    for r in quality_rules.starting(vectors, 3).collect():
+        starts[r.g].append(plain(r))
+    assert all(len(found) > 2 for found in starts.values())
+    for r in quality_rules.estimates(vectors, 3).collect():
+        x = groups[r.g].astype(float)
+        mean, inverse, det = plain_least_determinant(x, starts[r.g])
+        mine = plain(r)
+        assert np.allclose(mine[0], mean) and np.allclose(mine[1], inverse, atol=1e-9) and abs(mine[2] - det) < 1e-6
+        far = ((((x - mean) @ inverse.T) ** 2).sum(axis=1) > quality_rules.LIMIT).nonzero()[0]
+        assert set(range(300, 390)) <= set(far.tolist()) and (far < 300).sum() < 10
+
+
 # -- mixing ------------------------------------------------------------------------------------------
 
 
