@@ -250,6 +250,41 @@ def test_classifier_on_held_out_labels(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 for i, r in rows.items())
 
 
+def test_classifier_gradients_by_finite_differences():
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(30, 6))
+    weights = [rng.normal(size=(6, 4)), rng.normal(size=4), rng.normal(size=4), np.array(0.3)]
+    for objective, prior in ((quality_classifier.risk, 0.2), (quality_classifier.risk, 0.99), (quality_classifier.contrast, 0.5)):
+        value, grads = quality_classifier.gradients(x, weights, 12, prior, objective)
+        for w, grad in zip(weights, grads, strict=True):
+            for at in np.ndindex(w.shape):
+                kept = float(w[at])
+                ends = []
+                for shift in (1e-6, -1e-6):
+                    w[at] = kept + shift
+                    ends.append(quality_classifier.gradients(x, weights, 12, prior, objective)[0])
+                w[at] = kept
+                assert abs((ends[0] - ends[1]) / 2e-6 - grad[at]) < 1e-6 * (1 + abs(grad[at]))
+    signs = [quality_classifier.risk(x @ weights[0][:, 0], 12, prior)[0] for prior in (0.2, 0.99)]
+    assert signs[0] > 0 and signs[1] > 0
+
+
+def test_class_prior_is_the_part_of_positives():
+    rng = np.random.default_rng(12)
+    draw = lambda n, shift: rng.normal(shift, 1, (n, quality_classifier.FEATURES)).astype(np.float32)
+    for prior in (0.3, 0.8):
+        n = int(3000 * prior)
+        mixed = rng.permutation(np.concatenate([draw(n, 0), draw(3000 - n, 1.5)]))
+        assert abs(quality_classifier.class_prior(draw(2000, 0), mixed) - prior) < 0.08
+
+
+def test_classifier_does_not_use_labels_of_0(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    scores = lambda some: {r.doc_id: r.score for r in quality_classifier.classify(docs, some).collect()}
+    every = scores(labels)
+    assert every == scores(labels.filter("quality = 1")) and len(set(every.values())) > 2
+
+
 def test_classifier_without_labels(spark, odd_docs):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     assert {r.score for r in quality_classifier.classify(odd_docs, none).collect()} == {0.5}
