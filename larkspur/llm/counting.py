@@ -1,31 +1,97 @@
-"""Counts of 64-bit keys as sorted arrays: packed by tasks, merged per shard."""
+"""Counts of 64-bit keys as sorted arrays: packed by tasks for each file, divided into parts and merged in the file's task.
+
+A task sends at most a row per file, whatever the size of the corpus. The task that gathers a file divides
+its rows into parts as they come, lets Spark sort them by part (spilling where it must), and merges part
+after part.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
+
+PACKED = "file int, sub int, once binary, more binary, times binary"
+# Keys that a task holds before it sends them.
+GATHERED = 3_000_000
 
-PACKED = "shard int, once binary, more binary, times binary"
 
+def _rows(found: np.ndarray, counts: np.ndarray, runs: Iterator[tuple[int, int, int]], place: Callable[[int], tuple[int, int]]) -> pd.DataFrame:
+    rows = []
+    for value, a, b in runs:
+        part, times = found[a:b], counts[a:b]
+        again = times > 1
+        rows.append((*place(value), part[~again].tobytes(), part[again].tobytes(), times[again].astype("<u4").tobytes()))
+    return pd.DataFrame(rows, columns=["file", "sub", "once", "more", "times"])
 
-def pack(keys: list[np.ndarray], edges) -> pd.DataFrame:
-    """A row per shard that has keys: those seen once, and the others with their counts. ``edges``: sorted keys to shard bounds."""
+
+def pack(keys: list[np.ndarray], files_in: Callable[[np.ndarray], Iterator[tuple[int, int, int]]]) -> pd.DataFrame:
+    """A row per file that has keys: those seen once, and the others with their counts. ``files_in``: (file, from, to) of sorted keys."""
     found, counts = np.unique(np.concatenate(keys), return_counts=True)
-    bounds, rows = edges(found), []
-    for s in range(len(bounds) - 1):
-        part, times = found[bounds[s] : bounds[s + 1]], counts[bounds[s] : bounds[s + 1]]
-        if len(part):
-            again = times > 1
-            rows.append((s, part[~again].tobytes(), part[again].tobytes(), times[again].astype("<u4").tobytes()))
-    return pd.DataFrame(rows, columns=["shard", "once", "more", "times"])
-
-
-def merge(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys of a shard's packed rows, and their counts."""
-    once = np.frombuffer(b"".join(pdf.once), "<u8")
-    keys = np.concatenate([once, np.frombuffer(b"".join(pdf.more), "<u8")])
-    times = np.concatenate([np.ones(len(once), dtype=np.int64), np.frombuffer(b"".join(pdf.times), "<u4").astype(np.int64)])
+    return _rows(found, counts, files_in(found), lambda f: (f, 0))
+
+
+def merge(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of packed rows, and their counts."""
+    once = np.frombuffer(b"".join(r.once for r in rows), "<u8")
+    keys = np.concatenate([once, np.frombuffer(b"".join(r.more for r in rows), "<u8")])
+    times = np.concatenate([np.ones(len(once), dtype=np.int64), np.frombuffer(b"".join(r.times for r in rows), "<u4").astype(np.int64)])
     order = np.argsort(keys)
     keys, times = keys[order], times[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[first], np.add.reduceat(times, first)
+
+
+def held_rows(rows: Iterator, size: Callable, most: int) -> Iterator[list]:
+    """Rows in groups of about ``most`` in size."""
+    held, total = [], 0
+    for r in rows:
+        held.append(r)
+        total += size(r)
+        if total >= most:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
+def streamed(batches: Iterator[pd.DataFrame]) -> Iterator:
+    return (r for pdf in batches for r in pdf.itertuples(index=False))
+
+
+def by_file(packed: DataFrame, files: int, subs: int, subs_in: Callable, use: Callable, schema: str) -> DataFrame:
+    """``use(file, parts)`` for each file; ``parts`` gives (sub, sorted keys, counts) of all its parts in turn, empty ones too.
+
+    ``use`` yields data frames. ``subs_in(file, keys)``: (sub, from, to) of a file's sorted keys.
+    """
+
+    def divide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f, rows in groupby(streamed(batches), key=lambda r: r.file):
+            for some in held_rows(rows, lambda r: (len(r.once) + len(r.more)) // 8, GATHERED):
+                keys, counts = merge(some)
+                yield _rows(keys, counts, subs_in(f, keys), lambda s, f=f: (f, s))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = np.empty(0, "<u8"), np.empty(0, np.int64)
+
+        def every(rows: Iterator) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            at = 0
+            for sub, some in groupby(rows, key=lambda r: r.sub):
+                for s in range(at, sub):
+                    yield (s, *none)
+                yield (sub, *merge(list(some)))
+                at = sub + 1
+            for s in range(at, subs):
+                yield (s, *none)
+
+        for f, rows in groupby(streamed(batches), key=lambda r: r.file):
+            parts = every(rows)
+            yield from use(f, parts)
+
+    dealt = packed.repartition(files, "file")
+    if subs > 1:
+        dealt = dealt.sortWithinPartitions("file").mapInPandas(divide, PACKED)
+    return dealt.sortWithinPartitions("file", "sub").mapInPandas(run, schema)

@@ -5,34 +5,42 @@ per range into sorted hash arrays in the shared folder; a word's place in them i
 counted the same way by ranges of the context's id, so one task sees a whole context and writes its total
 and its numbers of followers seen once, twice and more. The numbers of contexts per follower (continuation
 counts) are summed per word range. Discounts come of the counts of counts. Scoring tasks map the arrays
-and look their words and pairs up by bisection; nothing of the model is held in memory or sent around.
+and look their words and pairs up by bisection; nothing of the model is held in memory or sent around. The
+arrays are a bounded number of files, written by parts of bounded size (see ``store``).
 
 p(w | u) = (c(uw) - D(c(uw))) / c(u) + g(u) p(w), p(w) = (k(w) - D'(k(w))) / K + g' / (V + 1), where k are
 continuation counts; a word not seen in training has only the last term.
 
-Edge cases: NULL, empty and blank texts are the end token alone. A NULL id is written "null" for the fold.
-Repeated rows count each. Without training documents every probability is 1 / (V + 1) with V = 0.
+Ids are integers (cast to bigint). Edge cases: NULL, empty and blank texts are the end token alone. A NULL id
+is written "null" for the fold. Repeated rows count each, and equal texts have equal scores. Very long texts
+are counted and scored whole. Extra columns are left out, whatever their names. Without training documents
+every probability is 1 / (V + 1) with V = 0; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm import store
-from larkspur.llm.counting import PACKED, merge, pack
+from larkspur.llm import counting, store
+from larkspur.llm.counting import PACKED
 from larkspur.llm.hashing import grouped, word_hashes
 from larkspur.session import fresh_dir, written
 
 FOLDS = 10
-SHARD_BYTES, GATHERED = 24 << 20, 3_000_000
+SHARD_BYTES = 24 << 20
+# Bytes of text scored together: at least so many, and more for each file to look into.
+TOGETHER, TOGETHER_A_FILE = 1 << 20, 8 << 10
 # Fixed value: the end token's hash, which no word has but by chance.
 END = np.uint64(0x5E0FE0D0C5E0FE0D)
+# Ids take 32 bits of a pair's number; one past the last word begins a text, one more follows unknown words.
+MOST_WORDS = (1 << 32) - 3
 
 
 def fold(id_col: Column, folds: int) -> Column:
@@ -64,8 +72,8 @@ class Model:
     """Where the arrays are, and the few numbers that stand for the whole corpus."""
 
     folder: str
-    shards: int
-    offsets: np.ndarray  # first id of each word range, and the number of words
+    parts: store.Parts
+    offsets: np.ndarray  # first id of each word file, and the number of words
     total: int
     pair_discounts: np.ndarray
     word_discounts: np.ndarray
@@ -77,16 +85,21 @@ class Model:
         return int(self.offsets[-1])
 
 
-def _ids(hashes: np.ndarray, folder: str, shards: int, offsets: np.ndarray) -> np.ndarray:
+def _ids(hashes: np.ndarray, folder: str, parts: store.Parts, offsets: np.ndarray) -> np.ndarray:
     """Ids of hashes; the number of words for unknown ones."""
     distinct, back = np.unique(hashes, return_inverse=True)
-    shard, place, hit = store.find(distinct, folder, "word", shards)
-    return np.where(hit, offsets[shard] + place, offsets[-1])[back]
+    file, place, hit = store.find(distinct, folder, "word", parts)
+    return np.where(hit, offsets[file] + place, offsets[-1])[back]
 
 
-def _ranges(size: int, shards: int) -> np.ndarray:
-    """First context id of each range; the context past the last word is the beginning of a text."""
-    return np.arange(shards + 1, dtype=np.int64) * (size + 1) // shards
+def _ranges(size: int, parts: int) -> np.ndarray:
+    """First context id of each part; the context past the last word is the beginning of a text."""
+    return np.array([p * (size + 1) // parts for p in range(parts + 1)], dtype=np.int64)
+
+
+def _by_context(keys: np.ndarray, ranges: np.ndarray):
+    """(range, from, to) of sorted pairs by their contexts' ranges."""
+    return store.runs_of(np.searchsorted(ranges, (keys >> np.uint64(32)).astype(np.int64), side="right") - 1)
 
 
 def _pairs(ids: np.ndarray, begins: np.ndarray, size: int) -> np.ndarray:
@@ -97,110 +110,136 @@ def _pairs(ids: np.ndarray, begins: np.ndarray, size: int) -> np.ndarray:
     return before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)
 
 
-def _pack_all(batches: Iterator[pd.DataFrame], keys, edges) -> Iterator[pd.DataFrame]:
+def _pack_all(batches: Iterator[pd.DataFrame], keys, files_in, together: int) -> Iterator[pd.DataFrame]:
     held, size = [], 0
     for pdf in batches:
-        for group in grouped(pdf["text"]):
+        for group in grouped(pdf["text"], together):
             held.append(keys(group))
             size += len(held[-1])
-            if size > GATHERED:
-                yield pack(held, edges)
+            if size > counting.GATHERED:
+                yield counting.pack(held, files_in)
                 held, size = [], 0
     if size:
-        yield pack(held, edges)
+        yield counting.pack(held, files_in)
+
+
+def _together(parts: store.Parts) -> int:
+    return max(TOGETHER, parts.files * TOGETHER_A_FILE)
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     spark = docs.sparkSession
     docs = docs.select(F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards, folder = max(4, size // SHARD_BYTES), fresh_dir(spark, "model")
+    parts, folder = store.parts_for(size, SHARD_BYTES), fresh_dir(spark, "model")
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _pack_all(batches, lambda group: tokens(group)[0], lambda found: store.shard_edges(found, shards))
-
-    def merge_words(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = merge(pdf)
-        s = int(pdf.shard.iloc[0])
-        store.put(folder, f"word-{s}", keys)
-        store.put(folder, f"wordn-{s}", counts.astype("<u8"))
-        return pd.DataFrame([(s, len(keys), int(counts.sum()))], columns=["shard", "n", "total"])
-
-    sizes = np.zeros(shards, dtype=np.int64)
-    total = 0
-    for r in docs.mapInPandas(words, PACKED).groupBy("shard").applyInPandas(merge_words, "shard int, n bigint, total bigint").collect():  # a row per range
-        sizes[r.shard], total = r.n, total + r.total
-    for s in np.flatnonzero(sizes == 0):
-        store.put(folder, f"word-{s}", np.empty(0, "<u8"))
-        store.put(folder, f"wordn-{s}", np.empty(0, "<u8"))
+        return _pack_all(batches, lambda group: tokens(group)[0], parts.files_in, _together(parts))
+
+    def merge_words(f: int, found) -> Iterator[pd.DataFrame]:
+        n = total = 0
+        with store.writing(folder, [f"word-{f}", f"wordn-{f}"]) as (word, count):
+            for _, keys, counts in found:
+                word(keys)
+                count(counts.astype("<u8"))
+                n, total = n + len(keys), total + int(counts.sum())
+        yield pd.DataFrame([(f, n, total)], columns=["file", "n", "total"])
+
+    subs_in = lambda f, keys: store.runs_of(parts.part_of(keys) - f * parts.subs)
+    counted = counting.by_file(docs.mapInPandas(words, PACKED), parts.files, parts.subs, subs_in, merge_words, "file int, n bigint, total bigint")
+    sizes = np.zeros(parts.files, dtype=np.int64)
+    total, made = 0, set()
+    for r in counted.collect():  # a row per file
+        sizes[r.file], total = r.n, total + r.total
+        made.add(r.file)
+    store.fill(folder, ["word", "wordn"], parts.files, made)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     n_words = int(offsets[-1])
-    ranges = _ranges(n_words, shards)
+    if n_words > MOST_WORDS:
+        raise ValueError(f"{n_words} distinct words: a pair of ids takes 64 bits, so at most {MOST_WORDS} are modelled")
+    fine = _ranges(n_words, parts.total)
+    ranges = fine[:: parts.subs]
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def keys(group: list[bytes]) -> np.ndarray:
             hashes, begins = tokens(group)
-            return _pairs(_ids(hashes, folder, shards, offsets), begins, n_words)
-
-        return _pack_all(batches, keys, lambda found: np.searchsorted(found, ranges.astype(np.uint64) << np.uint64(32)))
-
-    def merge_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = int(pdf.shard.iloc[0])
-        keys, counts = merge(pdf)
-        _put_pairs(folder, s, keys, counts)
-        context = (keys >> np.uint64(32)).astype(np.int64) - ranges[s]
-        width = int(ranges[s + 1] - ranges[s])
-        store.put(folder, f"ctx-{s}", np.bincount(context, weights=counts, minlength=width).astype("<u8"))
-        kinds = [np.bincount(context[c], minlength=width) for c in (counts == 1, counts == 2, counts > 2)]
-        store.put(folder, f"fan-{s}", np.stack(kinds, axis=1).astype("<u4"))
-        followers, contexts = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
-        edges = np.searchsorted(followers, offsets.astype(np.uint64))
-        few = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-        rows = [
-            (s, *(few if first else [0] * 4), w, followers[edges[w] : edges[w + 1]].astype("<u4").tobytes(), contexts[edges[w] : edges[w + 1]].astype("<u4").tobytes())
-            for first, w in zip([True] + [False] * shards, range(shards), strict=False)
-        ]
-        return pd.DataFrame(rows, columns=["shard", "t1", "t2", "t3", "t4", "words", "ids", "contexts"])
-
-    schema = "shard int, t1 bigint, t2 bigint, t3 bigint, t4 bigint, words int, ids binary, contexts binary"
-    sent = written(docs.mapInPandas(pairs, PACKED).groupBy("shard").applyInPandas(merge_pairs, schema), "pairs")
-
-    def merge_contexts(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = int(pdf.words.iloc[0])
-        counts = np.zeros(int(sizes[w]), dtype=np.int64)
-        for ids, contexts in zip(pdf.ids, pdf.contexts, strict=True):
-            counts[np.frombuffer(ids, "<u4").astype(np.int64) - offsets[w]] += np.frombuffer(contexts, "<u4")
-        store.put(folder, f"cont-{w}", counts.astype("<u8"))
-        return pd.DataFrame([[*[int((counts == k).sum()) for k in (1, 2, 3, 4)], int((counts > 2).sum()), int(counts.sum())]], columns=["t1", "t2", "t3", "t4", "t3up", "types"])
-
-    few = sent.groupBy().agg(*[F.sum(f"t{k}") for k in (1, 2, 3, 4)]).first()
-    conts = sent.groupBy("words").applyInPandas(merge_contexts, "t1 bigint, t2 bigint, t3 bigint, t4 bigint, t3up bigint, types bigint")
-    cont = conts.groupBy().agg(*[F.sum(c) for c in ("t1", "t2", "t3", "t4", "t3up", "types")]).first()
-    cont = [x or 0 for x in cont]
+            return _pairs(_ids(hashes, folder, parts, offsets), begins, n_words)
+
+        return _pack_all(batches, keys, lambda found: _by_context(found, ranges), _together(parts))
+
+    def followers_by_file(held: list[np.ndarray]) -> pd.DataFrame:
+        ids, contexts = np.unique(np.concatenate(held), return_counts=True)
+        rows = [(w, *[0] * 4, ids[a:b].astype("<u4").tobytes(), contexts[a:b].astype("<u4").tobytes()) for w, a, b in store.runs_of(np.searchsorted(offsets, ids, side="right") - 1)]
+        return pd.DataFrame(rows, columns=SENT)
+
+    def merge_pairs(f: int, found) -> Iterator[pd.DataFrame]:
+        few, held, size = np.zeros(4, dtype=np.int64), [], 0
+        with store.writing(folder, [f"{name}-{f}" for name in PAIR_ARRAYS]) as (pair, pairn, paira, pairl, ctx, fan):
+            n = 0
+            for sub, keys, counts in found:
+                large = np.flatnonzero(counts > 254)
+                pair(keys)
+                pairn(np.minimum(counts, 255).astype("u1"))
+                paira((large + n).astype("<u8"))
+                pairl(counts[large].astype("<u8"))
+                n += len(keys)
+                low, high = fine[f * parts.subs + sub], fine[f * parts.subs + sub + 1]
+                context, width = (keys >> np.uint64(32)).astype(np.int64) - low, int(high - low)
+                ctx(np.bincount(context, weights=counts, minlength=width).astype("<u8"))
+                fan(np.stack([np.bincount(context[c], minlength=width) for c in (counts == 1, counts == 2, counts > 2)], axis=1).astype("<u4"))
+                few += [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+                held.append((keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
+                size += len(keys)
+                if size > counting.GATHERED:
+                    yield followers_by_file(held)
+                    held, size = [], 0
+        if size:
+            yield followers_by_file(held)
+        # The counts of counts go with no followers, under the number of the file that is past the last.
+        yield pd.DataFrame([(-1 - f, *few.tolist(), b"", b"")], columns=SENT)
+
+    schema = "words int, t1 bigint, t2 bigint, t3 bigint, t4 bigint, ids binary, contexts binary"
+    packed = docs.mapInPandas(pairs, PACKED)
+    by_fine = lambda f, keys: store.runs_of(np.searchsorted(fine, (keys >> np.uint64(32)).astype(np.int64), side="right") - 1 - f * parts.subs)
+    sent = written(counting.by_file(packed, parts.files, parts.subs, by_fine, merge_pairs, schema), "pairs")
+    made = {-1 - r.words for r in sent.filter("words < 0").select("words").collect()}  # a row per file
+    for f in set(range(parts.files)) - made:
+        list(merge_pairs(f, ((s, np.empty(0, "<u8"), np.empty(0, np.int64)) for s in range(parts.subs))))
+
+    def merge_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for w, rows in groupby(counting.streamed(batches), key=lambda r: r.words):
+            counts = np.zeros(int(sizes[w]), dtype=np.int64)
+            for r in rows:
+                counts[np.frombuffer(r.ids, "<u4").astype(np.int64) - offsets[w]] += np.frombuffer(r.contexts, "<u4")
+            store.put(folder, f"cont-{w}", counts.astype("<u8"))
+            kinds = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+            yield pd.DataFrame([(w, *kinds, int((counts > 2).sum()), int(counts.sum()))], columns=["words", "t1", "t2", "t3", "t4", "t3up", "types"])
+
+    few = sent.filter("words < 0").groupBy().agg(*[F.sum(f"t{k}") for k in (1, 2, 3, 4)]).first()
+    dealt = sent.filter("words >= 0").repartition(parts.files, "words").sortWithinPartitions("words")
+    conts = dealt.mapInPandas(merge_contexts, "words int, t1 bigint, t2 bigint, t3 bigint, t4 bigint, t3up bigint, types bigint").collect()  # a row per file
+    store.fill(folder, ["cont"], parts.files, {r.words for r in conts})
+    cont = [sum(r[i] for r in conts) for i in range(1, 7)]
     d1 = discounts(*cont[:4])
     rest = (d1[1] * cont[0] + d1[2] * cont[1] + d1[3] * cont[4]) / cont[5] if cont[5] else 1.0
-    return Model(folder, shards, offsets, total, discounts(*[x or 0 for x in few]), d1, float(rest), cont[5])
+    return Model(folder, parts, offsets, total, discounts(*[x or 0 for x in few]), d1, float(rest), cont[5])
 
 
-def _put_pairs(folder: str, s: int, keys: np.ndarray, counts: np.ndarray) -> None:
-    """Counts in a byte each, the few of 255 and more beside them."""
-    large = np.flatnonzero(counts > 254)
-    store.put(folder, f"pair-{s}", keys)
-    store.put(folder, f"pairn-{s}", np.minimum(counts, 255).astype("u1"))
-    store.put(folder, f"paira-{s}", large.astype("<u8"))
-    store.put(folder, f"pairl-{s}", counts[large].astype("<u8"))
+SENT = ["words", "t1", "t2", "t3", "t4", "ids", "contexts"]
+# Pairs, their counts in a byte each, places and counts of the few of 255 and more; totals of contexts, their followers by count.
+PAIR_ARRAYS = ["pair", "pairn", "paira", "pairl", "ctx", "fan"]
 
 
 def _gather(model: Model, name: str, dtype: str, ids: np.ndarray, edges: np.ndarray, columns: int = 1) -> np.ndarray:
-    """Values of sharded arrays at ids below the last edge; 0 elsewhere."""
-    out = np.zeros((len(ids), columns) if columns > 1 else len(ids), dtype=np.float64)
-    shard = np.searchsorted(edges, ids, side="right") - 1
-    for s in np.unique(shard[(ids >= 0) & (ids < edges[-1])]):
-        mine = shard == s
-        values = store.get(model.folder, f"{name}-{s}", dtype)
+    """Values of the files' arrays at ids below the last edge; 0 elsewhere."""
+    distinct, back = np.unique(ids, return_inverse=True)
+    out = np.zeros((len(distinct), columns) if columns > 1 else len(distinct), dtype=np.float64)
+    known = int(np.searchsorted(distinct, edges[-1]))
+    for f, a, b in store.runs_of(np.searchsorted(edges, distinct[:known], side="right") - 1):
+        values = store.get(model.folder, f"{name}-{f}", dtype)
         if len(values):
-            out[mine] = (values.reshape(-1, columns) if columns > 1 else values)[ids[mine] - edges[s]]
-    return out
+            out[a:b] = (values.reshape(-1, columns) if columns > 1 else values)[distinct[a:b] - edges[f]]
+    return out[back]
 
 
 def probabilities(model: Model, ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -211,13 +250,10 @@ def probabilities(model: Model, ids: np.ndarray, keys: np.ndarray) -> np.ndarray
     lower = word_uniform + (np.maximum(k - model.word_discounts[np.minimum(k, 3).astype(np.int64)], 0) / model.types if model.types else 0)
     distinct, back = np.unique(keys, return_inverse=True)
     context, word = (distinct >> np.uint64(32)).astype(np.int64), (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    ranges = _ranges(v, model.shards)
+    ranges = _ranges(v, model.parts.total)[:: model.parts.subs]
     counts = np.zeros(len(distinct))
-    edges = np.searchsorted(distinct, ranges.astype(np.uint64) << np.uint64(32))
-    for s in range(model.shards):
-        a, b = edges[s], edges[s + 1]
-        if a == b or not model.types or ranges[s] == ranges[s + 1]:
-            continue
+    inside = int(np.searchsorted(context, v + 1)) if model.types else 0
+    for s, a, b in _by_context(distinct[:inside], ranges):
         found = store.get(model.folder, f"pair-{s}", "<u8")
         if not len(found):
             continue
@@ -246,9 +282,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows, doc_ids = [], iter(pdf["doc_id"])
-            for group in grouped(pdf["text"]):
+            for group in grouped(pdf["text"], _together(model.parts)):
                 hashes, begins = tokens(group)
-                ids = _ids(hashes, model.folder, model.shards, model.offsets)
+                ids = _ids(hashes, model.folder, model.parts, model.offsets)
                 keys = _pairs(ids, begins, v)
                 # The context after an unknown word has no entry: a number past the beginning's.
                 unknown = np.zeros(len(ids), dtype=bool)

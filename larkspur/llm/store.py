@@ -1,8 +1,11 @@
-"""Arrays in the shared folder: written whole by one task, memory-mapped by any worker.
-
-A task writes under a name of its own attempt and renames, so a repeated attempt replaces equal content. A
-shared file system is mapped in place; another store is copied to the worker's temporary folder first, and
-the copy is unlinked once mapped, so nothing stays behind.
+"""Sorted arrays in the shared folder: a bounded number of files, written by parts, memory-mapped by any worker.
+
+The hash space is cut into files, a bounded number however large the corpus is, and each file into parts of
+bounded size. One task writes a file, part after part, so it holds one part at a time; parts are in hash
+order, so a file is one sorted array and needs no index. A task writes under a name of its own attempt and
+renames, so a repeated attempt replaces equal content. A shared file system is mapped in place; another
+store's file is copied to the worker's temporary folder first, and the copy is unlinked once mapped. A worker
+keeps the maps it used last.
 """
 
 from __future__ import annotations
@@ -10,11 +13,53 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 from urllib.parse import urlparse
 
 import numpy as np
 
-_OPEN: dict[str, np.ndarray] = {}
+# Most files an array is cut into, and most maps a worker keeps.
+MOST_FILES, MOST_MAPS = 2048, 8192
+_OPEN: OrderedDict[str, np.ndarray] = OrderedDict()
+
+
+@dataclass(frozen=True)
+class Parts:
+    """``files`` ranges of the hash, each of ``subs`` parts."""
+
+    files: int
+    subs: int
+
+    @property
+    def total(self) -> int:
+        return self.files * self.subs
+
+    def part_of(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> np.uint64(32)) * np.uint64(self.total) >> np.uint64(32)).astype(np.int64)
+
+    def file_of(self, hashes: np.ndarray) -> np.ndarray:
+        return self.part_of(hashes) // self.subs
+
+    def files_in(self, sorted_hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(file, from, to) of the files that sorted hashes fall into."""
+        yield from runs_of(self.file_of(sorted_hashes))
+
+
+def parts_for(size: int, part_size: int, least: int = 4) -> Parts:
+    wanted = max(least, -(-size // part_size))
+    files = min(wanted, MOST_FILES)
+    return Parts(files, -(-wanted // files))
+
+
+def runs_of(ascending: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, from, to) of each value of an ascending array."""
+    if len(ascending):
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(ascending)) + 1, [len(ascending)]])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield int(ascending[a]), a, b
 
 
 def _local(uri: str) -> str | None:
@@ -22,31 +67,52 @@ def _local(uri: str) -> str | None:
     return found.path if found.scheme in ("", "file") else None
 
 
+@contextmanager
+def writing(folder: str, names: list[str]) -> Iterator[list]:
+    """Functions that append arrays to the files ``names``, which appear whole or not at all."""
+    own = uuid.uuid4().hex
+    if _local(folder):
+        os.makedirs(_local(folder), exist_ok=True)
+        ends = [f"{_local(folder)}/{name}" for name in names]
+        open_, move = lambda path: open(path, "wb"), os.replace
+    else:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        ends = [f"{base}/{name}" for name in names]
+        open_, move = store.open_output_stream, store.move
+    outs = [open_(f"{path}.{own}") for path in ends]
+    append = lambda out: lambda values: out.write(memoryview(np.ascontiguousarray(values)).cast("B")) if values.size else None
+    try:
+        yield [append(out) for out in outs]
+    finally:
+        for out in outs:
+            out.close()
+    for path in ends:
+        move(f"{path}.{own}", path)
+
+
 def put(folder: str, name: str, values: np.ndarray) -> None:
-    uri = f"{folder}/{name}"
-    if path := _local(uri):
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        part = f"{path}.{uuid.uuid4().hex}"
-        np.ascontiguousarray(values).tofile(part)
-        os.replace(part, path)
-        return
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
-    store.create_dir(os.path.dirname(path), recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}"
-    with store.open_output_stream(part) as out:
-        out.write(memoryview(np.ascontiguousarray(values)).cast("B"))
-    store.move(part, path)
+    with writing(folder, [name]) as (out,):
+        out(values)
+
+
+def fill(folder: str, names: list[str], files: int, made: set[int]) -> None:
+    """Empty arrays for the files that no task has made: a bounded number."""
+    for f in set(range(files)) - made:
+        with writing(folder, [f"{name}-{f}" for name in names]):
+            pass
 
 
 def get(folder: str, name: str, dtype: str) -> np.ndarray:
-    """The array, mapped; the worker keeps its maps."""
+    """The array, mapped."""
     uri = f"{folder}/{name}"
     if uri in _OPEN:
+        _OPEN.move_to_end(uri)
         return _OPEN[uri]
-    if len(_OPEN) > 4096:
-        _OPEN.clear()
+    while len(_OPEN) >= MOST_MAPS:
+        _OPEN.popitem(last=False)
     if (path := _local(uri)) is None:
         from pyarrow import fs
 
@@ -63,25 +129,12 @@ def get(folder: str, name: str, dtype: str) -> np.ndarray:
     return found
 
 
-def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
-    """Shards are ranges of the hash, so shard after shard is in hash order."""
-    return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-
-
-def shard_edges(sorted_hashes: np.ndarray, shards: int) -> np.ndarray:
-    """Places where each shard's part of sorted hashes begins and ends."""
-    return np.searchsorted(shard_of(sorted_hashes, shards), np.arange(shards + 1))
-
-
-def find(sorted_hashes: np.ndarray, folder: str, name: str, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shard, place, found) of each of the sorted hashes in the sharded sorted array ``name``."""
-    edges = shard_edges(sorted_hashes, shards)
-    shard, place, hit = np.zeros(len(sorted_hashes), np.int64), np.zeros(len(sorted_hashes), np.int64), np.zeros(len(sorted_hashes), bool)
-    for s in range(shards):
-        a, b = edges[s], edges[s + 1]
-        if a < b:
-            keys = get(folder, f"{name}-{s}", "<u8")
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, sorted_hashes[a:b]), len(keys) - 1)
-                shard[a:b], place[a:b], hit[a:b] = s, at, keys[at] == sorted_hashes[a:b]
-    return shard, place, hit
+def find(sorted_hashes: np.ndarray, folder: str, name: str, parts: Parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(file, place, found) of each of the sorted hashes in the sorted array ``name``."""
+    file, place, hit = np.zeros(len(sorted_hashes), np.int64), np.zeros(len(sorted_hashes), np.int64), np.zeros(len(sorted_hashes), bool)
+    for f, a, b in parts.files_in(sorted_hashes):
+        keys = get(folder, f"{name}-{f}", "<u8")
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, sorted_hashes[a:b]), len(keys) - 1)
+            file[a:b], place[a:b], hit[a:b] = f, at, keys[at] == sorted_hashes[a:b]
+    return file, place, hit

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import components, language_model, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, repeats, tokens, topk
+from larkspur.llm import components, language_model, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, repeats, store, tokens, topk
 from larkspur.llm.queries import QUERIES
 from larkspur.llm.suffix_array import suffix_array
 
@@ -173,6 +173,24 @@ def test_language_model(spark, docs):
         assert near(r.base_score, base) and near(r.score, score)
 
 
+def test_language_model_with_many_parts(spark, docs, monkeypatch):
+    expected = brute.language_model([(r.doc_id, r.text) for r in docs])
+    monkeypatch.setattr(language_model, "SHARD_BYTES", 100)
+    monkeypatch.setattr(store, "MOST_FILES", 16)
+    for r in QUERIES["op6_language_model"](spark, SF).collect():
+        assert r.train_tokens == expected[r.doc_id][3] and near(r.base_score, expected[r.doc_id][4]) and near(r.score, expected[r.doc_id][5])
+
+
+def test_store_keeps_the_maps_used_last(tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "MOST_MAPS", 16)
+    parts = store.Parts(50, 100)
+    hashes = np.sort(np.random.default_rng(15).integers(0, 1 << 64, 20_000, dtype=np.uint64))
+    for f, a, b in parts.files_in(hashes):
+        store.put(str(tmp_path), f"h-{f}", hashes[a:b])
+    assert store.find(hashes, str(tmp_path), "h", parts)[2].all() and len(store._OPEN) <= 16
+    assert not store.find(hashes ^ np.uint64(1), str(tmp_path), "h", parts)[2].any()
+
+
 # -- n-gram join -------------------------------------------------------------------------------------
 
 
@@ -238,6 +256,90 @@ def test_ngram_join(spark, docs, n, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected
 
 
+def numpy_components(rows, percent):
+    """Least place reachable by links, of sets given as token lists, by one product of incidence matrices."""
+    vocabulary = {t: i for i, t in enumerate(sorted({t for r in rows for t in r}))}
+    held = np.zeros((len(rows), len(vocabulary)), dtype=np.float32)
+    for i, r in enumerate(rows):
+        held[i, [vocabulary[t] for t in r]] = 1
+    sizes, label = held.sum(axis=1), np.arange(len(rows))
+    linked = []
+    for a in range(0, len(rows), 500):
+        both = held[a : a + 500] @ held.T
+        linked += [(a + x, y) for x, y in zip(*np.nonzero(100 * both >= percent * (sizes[a : a + 500, None] + sizes - both)), strict=True)]
+    x, y = np.array(linked).T
+    while True:
+        new = label.copy()
+        np.minimum.at(new, x, label[y])
+        new = new[new]
+        if (new == label).all():
+            return label.tolist()
+        label = new
+
+
+def near_copies(rng, many):
+    """One passage that all share and whose n-grams are nobody's but theirs, in settings that link some and part others."""
+    base = [f"b{k}" for k in range(60)]
+    out = []
+    for i in range(many):
+        own = rng.choice(["", "", "x", "y"])
+        words = [w if rng.random() > 0.004 else f"e{i}" for w in base]
+        words += [f"{own}{k}" for k in range(rng.choice([4, 5, 60]))] if own else []
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_long_list_is_split(spark, monkeypatch, percent):
+    """A list of 5,000 different near copies, searched by pivots and blocks, against a brute-force product."""
+    rng = random.Random(13)
+    texts = near_copies(rng, 5000 if percent == 85 else 700)
+    monkeypatch.setattr(ngram_join, "LIST", 64)
+    monkeypatch.setattr(ngram_join, "BLOCK", 128)
+    rows = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in (t.split() for t in texts)]
+    expected = numpy_components(rows, percent)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    found = {r.doc_id: r.component_id for r in ngram_join.similar_groups(df, 4, percent).collect()}
+    assert [found[i] for i in range(len(texts))] == expected
+    assert 1 < len(set(expected)) < len(texts)
+
+
+def test_ngram_join_with_many_parts(spark, docs, monkeypatch):
+    expected = plain_components([(r.doc_id, r.text) for r in docs], 4, 85)
+    monkeypatch.setattr(ngram_join, "SHARD_BYTES", 100)
+    monkeypatch.setattr(store, "MOST_FILES", 16)
+    monkeypatch.setattr(ngram_join, "LIST", 2)
+    found = ngram_join.similar_groups(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected
+
+
+def test_one_of_each_keeps_the_least_of_each_group(spark, docs, odd_docs):
+    expected = plain_components([(r.doc_id, r.text) for r in docs], 5, 80)
+    kept = ngram_join.one_of_each(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(i for i, (_, label) in expected.items() if i == label)
+    odd = ngram_join.one_of_each(odd_docs)
+    assert odd.columns == odd_docs.columns
+    ids = Counter(r.doc_id for r in odd.collect())
+    assert ids[40] == 1 and ids[None] == 1 and 5 not in ids and 31 not in ids and ids[30] == 1
+
+
+def test_components_of_hubs_paths_and_loops(spark):
+    rng = random.Random(14)
+    edges = [(0, i) for i in range(1, 600)] + [(i, i + 1) for i in range(1000, 1300)] + [(5000, 5000), (7, 1100)]
+    edges += [tuple(rng.sample(range(2000, 2400), 2)) for _ in range(250)]
+    rng.shuffle(edges)
+    label = {n: n for e in edges for n in e}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in edges:
+            low = min(label[a], label[b])
+            moved |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    found = components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert {r.node: r.label for r in found} == label and len(found) == len(label)
+
+
 # -- classifier --------------------------------------------------------------------------------------
 
 
