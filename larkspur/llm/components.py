@@ -26,23 +26,31 @@ def join_back(rows: DataFrame, groups: DataFrame, group: str, unit: str) -> Data
     return rows.withColumn("_salt", salt(unit)).join(groups.withColumn("_salt", F.explode("salts")).drop("salts"), [group, "_salt"]).drop("_salt")
 
 
-
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """node, label: the smallest node reachable, for every node of the edges (a, b).
 
-    Every round takes the smallest label among neighbours, then follows labels of labels, so paths shorten
-    by halves. Rounds are written to the shared folder, and only a count reaches the driver.
+    Alternating stars: a large step ties the greater neighbours of every node to its least neighbour, a small
+    step the lesser ones and itself, until every component is one star. Least neighbours are found by partial
+    aggregates and go back to a node's edges by salt, so a hub may have any share of the edges. Rounds are
+    written to the shared folder, and only counts reach the driver.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
+    pairs = lambda a, b: F.struct(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    loops = edges.filter("a = b").select("a", "b")
+    stars = written(edges.filter("a <> b").select(pairs("a", "b").alias("x")).select("x.*").distinct(), "edges")
+    mark = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 20)))).first()
+    seen = mark(stars)
     for _ in range(rounds):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("best"))
-        step = labels.join(near, labels.node == near.a).select("node", F.least("label", "best").alias("label"), F.col("label").alias("old"))
-        hop = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = step.join(hop, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"), "old")
-        new = written(jumped, "labels")
-        changed = new.filter("label <> old").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
-            return labels
+        both = stars.unionAll(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = group_least(both, "a", "b", "b")
+        large = join_back(both, least, "a", "b").filter("b > a").select(F.col("b").alias("x"), F.least("a", "least").alias("y"))
+        large = written(large.filter("x <> y").select(pairs("x", "y").alias("e")).select("e.*").distinct(), "large")
+        least = group_least(large, "a", "b", "b")
+        small = join_back(large, least, "a", "b").select(F.explode(F.array(pairs("a", "least"), pairs("b", "least"))).alias("e")).select("e.*")
+        stars = written(small.filter("a <> b").distinct(), "small")
+        now = mark(stars)
+        if now == seen:
+            centres = stars.select("b").unionAll(loops.select("b")).distinct().select(F.col("b").alias("node"), F.col("b").alias("label"))
+            rest = stars.select(F.col("a").alias("node"), F.col("b").alias("label"))
+            return rest.unionAll(centres.join(rest.select("node"), "node", "left_anti"))
+        seen = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
