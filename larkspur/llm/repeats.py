@@ -8,21 +8,30 @@ are in. Neighbouring strings with one anchor are one run; a run travels as hashe
    are repeats; equal runs of one task are settled there, so frequent passages are not gathered. A gram with
    one run left is done.
 2. Grams with several different runs are contested: strings in them may be equal in part. Their texts are
-   fetched by a second scan, and per shard a suffix array is made by induced sorting. Strings next to each
-   other in order whose common prefix is SPAN or more are equal; the earliest stays, the others are repeats.
-3. Repeats are merged per document and kept as sorted arrays in the shared folder, which the last scan maps.
-
-Order is by doc_id, then start. Texts never travel but for contested runs.
-
-Edge cases: NULL is empty; texts under SPAN bytes lose nothing. Rows equal in id and text are one document,
-with one result each. A NULL id is below all others. Very long texts are worked in parts. Empty tables give
-empty results.
+   fetched by a second scan, and suffix arrays are made by induced sorting, whole grams to an array. Strings
+   next to each other in order whose common prefix is SPAN or more are equal; the earliest stays, the others
+   are repeats.
+3. A hot gram, in very many different runs (a passage in very many settings), is not gathered: a task
+   that meets many of its runs says so and passes them on, its other runs follow when they reach the gram's
+   part. Their texts are dealt by run, every string is named by its hash, strings are settled where they are
+   and then dealt by that name, as runs were.
+4. Repeats are merged per document and kept as sorted arrays in the shared folder, which the last scan maps.
+
+Everything dealt by hash goes to a bounded number of files, and in a file's task to parts of bounded size that
+Spark sorts (see ``store``). Order is by doc_id, then start. Texts never travel but for contested and hot runs.
+
+Ids are integers (cast to bigint). Edge cases: NULL is empty; texts under SPAN bytes lose nothing. Rows equal
+in id and text are one document, with one result each; of one id's different texts the order is by hash. A
+NULL id is below all others. Very long texts are worked in parts. Extra columns are left out, whatever their
+names. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -30,12 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import memory, store
+from larkspur.llm.counting import held_rows, streamed
 from larkspur.llm.hashing import _BASE, _BYTE, _INVERSE, _power, mix
 from larkspur.llm.suffix_array import common_prefixes, suffix_array
 from larkspur.session import fresh_dir, written
 
 SPAN, GRAM = 100, 32
-PART, SHARD_BYTES, GATHERED = 1 << 19, 12 << 20, 500_000
+PART, SHARD_BYTES = 1 << 19, 12 << 20
 # Bytes of contested text in one suffix array.
 ARRAY_BYTES = 1 << 20
 NULL_ID = -(1 << 63)
@@ -109,32 +119,160 @@ def runs(group: list[tuple[int, int, bytes]], span: int, gram: int) -> tuple[np.
     return doc, low + offset, high - low, mix(g[mark] + np.uint64(1)), kind
 
 
-_COLUMNS = ["shard", "kind", "h", "c", "doc", "low", "width", "ids", "ths"]
-_SCHEMA = "shard int, kind int, h binary, c binary, doc binary, low binary, width binary, ids binary, ths binary"
-RUNS, REPEATS, CONTESTED = 0, 1, 2
+_COLUMNS = ["file", "sub", "kind", "h", "c", "doc", "low", "width", "ids", "ths"]
+_SCHEMA = "file int, sub int, kind int, h binary, c binary, doc binary, low binary, width binary, ids binary, ths binary"
+# RUNS and STRINGS go by their gram or name; REPEATS, CONTESTED and HOT_RUNS (of gram 0) by document. SAID names hot grams.
+RUNS, SAID, REPEATS, CONTESTED, HOT_RUNS, STRINGS = range(6)
+_NONE = np.empty(0, "<u8")
 
 
-def _row(shard: int, kind: int, h, c, doc, low, width, ids, ths) -> tuple:
+def _row(file: int, sub: int, kind: int, h, c, doc, low, width, ids, ths) -> tuple:
     used, local = np.unique(doc, return_inverse=True)
-    return (shard, kind, h.tobytes(), c.tobytes(), local.astype("<u4").tobytes(), low.astype("<u4").tobytes(), width.astype("<u4").tobytes(), ids[used].tobytes(), ths[used].tobytes())
+    return (file, sub, kind, h.tobytes(), c.tobytes(), local.astype("<u4").tobytes(), low.astype("<u4").tobytes(), width.astype("<u4").tobytes(), ids[used].tobytes(), ths[used].tobytes())
+
+
+def _read(rows: list) -> tuple[np.ndarray, ...]:
+    """h, c, doc, low, width, ids, ths of packed rows, doc a place in ids and ths."""
+    ids = [np.frombuffer(r.ids, "<i8") for r in rows]
+    shift = np.concatenate([[0], np.cumsum([len(x) for x in ids])[:-1]]).astype(np.int64) if rows else []
+    load = lambda name, kind: np.frombuffer(b"".join(getattr(r, name) for r in rows), kind)
+    doc = np.concatenate([np.frombuffer(r.doc, "<u4").astype(np.int64) + s for r, s in zip(rows, shift, strict=True)]) if rows else np.empty(0, np.int64)
+    return load("h", "<u8"), load("c", "<u8"), doc, load("low", "<u4").astype(np.int64), load("width", "<u4").astype(np.int64), load("ids", "<i8"), load("ths", "<i8")
 
 
-def _read(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """h, c, doc, low, width of packed rows, doc a place in ids and ths."""
-    ids = [np.frombuffer(x, "<i8") for x in pdf.ids]
-    shift = np.concatenate([[0], np.cumsum([len(x) for x in ids])[:-1]]).astype(np.int64) if len(pdf) else []
-    load = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in pdf[name]]) if len(pdf) else np.empty(0, kind)
-    doc = np.concatenate([np.frombuffer(x, "<u4").astype(np.int64) + s for x, s in zip(pdf.doc, shift, strict=True)]) if len(pdf) else np.empty(0, np.int64)
-    ths = load("ths", "<i8")
-    return load("h", "<u8"), load("c", "<u8"), doc, load("low", "<u4").astype(np.int64), load("width", "<u4").astype(np.int64), (np.concatenate(ids) if len(pdf) else np.empty(0, "<i8")), ths
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_COLUMNS)
 
 
-def _split(shards: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(shards, kind="stable")
-    edges = np.searchsorted(shards[order], np.arange(n + 1))
-    for s in range(n):
-        if edges[s] < edges[s + 1]:
-            yield s, order[edges[s] : edges[s + 1]]
+def _dealt(kind: int, by: np.ndarray, place: Callable[[int], tuple[int, int]], h, c, doc, low, width, ids, ths) -> list[tuple]:
+    """A row for each value of ``by``. ``h`` and ``c`` may be None."""
+    order, rows = np.argsort(by, kind="stable"), []
+    some = lambda x, at: _NONE if x is None else x[at]
+    for value, a, b in store.runs_of(by[order]):
+        at = order[a:b]
+        rows.append(_row(*place(value), kind, some(h, at), some(c, at), doc[at], low[at], width[at], ids, ths))
+    return rows
+
+
+def _by_file(kind: int, parts: store.Parts, h, c, doc, low, width, ids, ths) -> list[tuple]:
+    """Rows by the file of their gram (RUNS, STRINGS) or document."""
+    keys = h if kind in (RUNS, STRINGS) else doc_keys(ids, ths)[doc]
+    return _dealt(kind, parts.file_of(keys), lambda f: (f, 0), h, c, doc, low, width, ids, ths)
+
+
+def _said(parts: store.Parts, grams: np.ndarray) -> list[tuple]:
+    none, grams = np.empty(0, np.int64), np.sort(grams)
+    return [_row(f, 0, SAID, grams[a:b], _NONE, none, none, none, np.empty(0, "<i8"), np.empty(0, "<i8")) for f, a, b in parts.files_in(grams)]
+
+
+def _said_in(f: int, parts: store.Parts, grams: np.ndarray) -> list[tuple]:
+    """The rows of hot grams dealt to the parts of a file."""
+    none, rows, grams = np.empty(0, np.int64), [], np.sort(grams)
+    for s, a, b in store.runs_of(_sub_of(f, parts, grams)):
+        rows.append(_row(f, s, SAID, grams[a:b], _NONE, none, none, none, np.empty(0, "<i8"), np.empty(0, "<i8")))
+    return rows
+
+
+def _per_gram(grams: np.ndarray) -> np.ndarray:
+    """How many entries have the gram of each."""
+    _, back, counts = np.unique(grams, return_inverse=True, return_counts=True)
+    return counts[back]
+
+
+def _settled(kind: int, parts: store.Parts, found: tuple[np.ndarray, ...], hot_from: int) -> list[tuple]:
+    """Rows of the earliest of equal runs, of the others as repeats, and of grams that have ``hot_from`` different runs or more."""
+    h, c, doc, low, width, ids, ths = found
+    first, again = _settle(h, c, doc, low, ids, ths)
+    rows = _by_file(REPEATS, parts, None, None, doc[again], low[again], width[again], ids, ths)
+    if kind == RUNS:
+        hot = _per_gram(h[first]) >= hot_from
+        some = first[hot]
+        rows += _by_file(HOT_RUNS, parts, np.zeros(len(some), "<u8"), None, doc[some], low[some], width[some], ids, ths) + _said(parts, np.unique(h[some]))
+        first = first[~hot]
+    return rows + _by_file(kind, parts, h[first], c[first], doc[first], low[first], width[first], ids, ths)
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Runs that a task gathers; different runs that make a gram hot in what a task gathers, and in a part."""
+
+    gathered: int = 500_000
+    task_hot: int = 64
+    hot: int = 256
+
+
+def _by_part(df: DataFrame, parts: store.Parts, divide: Callable[[int, list], list[tuple]], sizes: Sizes) -> DataFrame:
+    """Rows of a file in one task, in the order of its parts. ``divide(file, rows)`` deals gathered rows to parts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f, rows in groupby(streamed(batches), key=lambda r: r.file):
+            for some in held_rows(rows, lambda r: max(1, len(r.low) // 4), sizes.gathered):
+                yield _frame(divide(f, some))
+
+    dealt = df.repartition(parts.files, "file")
+    if parts.subs > 1:
+        dealt = dealt.sortWithinPartitions("file").mapInPandas(run, _SCHEMA)
+    return dealt.sortWithinPartitions("file", "sub")
+
+
+def _sub_of(f: int, parts: store.Parts, keys: np.ndarray) -> np.ndarray:
+    return parts.part_of(keys) - f * parts.subs
+
+
+def _settle_all(df: DataFrame, parts: store.Parts, kind: int, sizes: Sizes) -> DataFrame:
+    """Repeats, and of RUNS the contested and hot ones. ``df``: rows of ``kind`` and SAID."""
+
+    def divide(f: int, rows: list) -> list[tuple]:
+        own = [r for r in rows if r.kind == kind]
+        out = []
+        # Settled again: what a task gathers of a part grows with its different runs only.
+        for r in _settled(kind, parts, _read(own), sizes.task_hot) if own else []:
+            if r[2] in (kind, SAID):
+                h = np.frombuffer(r[3], "<u8")
+                if r[2] == SAID:
+                    out += _said_in(f, parts, h)
+                else:
+                    out += _dealt(kind, _sub_of(f, parts, h), lambda s: (f, s), *_read([_Packed(*r)]))
+            else:
+                out.append(r)
+        for r in rows:
+            if r.kind == SAID:
+                out += _said_in(f, parts, np.frombuffer(r.h, "<u8"))
+            elif r.kind != kind:
+                out.append(tuple(r))
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+
+        def part(rows: list) -> list[tuple]:
+            own = [r for r in rows if r.kind == kind]
+            out = [tuple(r) for r in rows if r.kind not in (kind, SAID)]
+            if not own:
+                return out
+            h, c, doc, low, width, ids, ths = _read(own)
+            first, again = _settle(h, c, doc, low, ids, ths)
+            out += _by_file(REPEATS, parts, None, None, doc[again], low[again], width[again], ids, ths)
+            if kind == RUNS:
+                said = np.concatenate([_NONE, *[np.frombuffer(r.h, "<u8") for r in rows if r.kind == SAID]])
+                many = _per_gram(h[first])
+                hot = (many > sizes.hot) | np.isin(h[first], said)
+                for what, some in ((HOT_RUNS, first[hot]), (CONTESTED, first[~hot & (many > 1)])):
+                    out += _by_file(what, parts, h[some] * np.uint64(what == CONTESTED), None, doc[some], low[some], width[some], ids, ths)
+            return out
+
+        for _, rows in groupby(streamed(batches), key=lambda r: (r.file, r.sub)):
+            memory.busy()
+            for r in part(list(rows)):
+                held.append(r)
+                size += len(r[6]) // 4
+            if size > sizes.gathered:
+                yield _frame(held)
+                held, size = [], 0
+        if held:
+            yield _frame(held)
+
+    return _by_part(df, parts, divide, sizes).mapInPandas(run, _SCHEMA)
 
 
 def _settle(h, c, doc, low, ids, ths) -> tuple[np.ndarray, np.ndarray]:
@@ -157,17 +295,16 @@ def _settle(h, c, doc, low, ids, ths) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([firsts[0], some[head]]), some[~same_place]
 
 
-def _repeat_rows(shards: int, base: int, doc, low, width, ids, ths, kind: int = REPEATS, h=None) -> list[tuple]:
-    keys = doc_keys(ids, ths)[doc]
-    none = np.empty(0, "<u8")
-    return [
-        _row(base + s, kind, none if h is None else h[at], none, doc[at], low[at], width[at], ids, ths) for s, at in _split(store.shard_of(keys, shards), shards)
-    ]
+class _Packed:
+    """A row of _COLUMNS by name."""
+
+    def __init__(self, *values):
+        self.__dict__.update(zip(_COLUMNS, values, strict=True))
 
 
-def _sorted_arrays(pdf: pd.DataFrame, folder: str, name: str, s: int, span: int) -> int:
-    """Writes a shard's repeats, joined where they touch, by document key."""
-    _, _, doc, low, width, ids, ths = _read(pdf)
+def _joined(found: tuple[np.ndarray, ...], span: int) -> tuple[np.ndarray, ...]:
+    """Document keys, first and last bytes of repeats, joined where they touch, in order."""
+    _, _, doc, low, width, ids, ths = found
     keys, high = doc_keys(ids, ths)[doc], low + width + span
     order = np.lexsort((low, keys))
     keys, low, high = keys[order], low[order], high[order]
@@ -179,10 +316,38 @@ def _sorted_arrays(pdf: pd.DataFrame, folder: str, name: str, s: int, span: int)
         new = np.concatenate([[True], (low + lift)[1:] > reach[:-1]])
         last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(new) - 1]])
         keys, low, high = keys[new], low[new], (reach - lift)[last]
-    store.put(folder, f"{name}-{s}", keys.astype("<u8"))
-    store.put(folder, f"{name}low-{s}", low.astype("<u8"))
-    store.put(folder, f"{name}high-{s}", high.astype("<u8"))
-    return len(keys)
+    return keys.astype("<u8"), low.astype("<u8"), high.astype("<u8")
+
+
+def _wanted(found: tuple[np.ndarray, ...], _: int) -> tuple[np.ndarray, ...]:
+    """Document keys, first bytes, widths and grams of runs whose texts are wanted, in order. Hot ones have gram 0."""
+    h, _, doc, low, width, ids, ths = found
+    keys = doc_keys(ids, ths)[doc]
+    order = np.lexsort((low, keys))
+    return tuple(x[order].astype("<u8") for x in (keys, low, width, h))
+
+
+CUT, WANT = ["cut", "cutlow", "cuthigh"], ["want", "wantlow", "wantwidth", "wanth"]
+
+
+def _write_arrays(df: DataFrame, folder: str, names: list[str], parts: store.Parts, span: int, made_of: Callable, sizes: Sizes) -> None:
+    """Sorted arrays by document key of all rows of ``df``, a file of each name per file."""
+
+    def divide(f: int, rows: list) -> list[tuple]:
+        h, c, doc, low, width, ids, ths = _read(rows)
+        subs = _sub_of(f, parts, doc_keys(ids, ths)[doc])
+        return _dealt(0, subs, lambda s: (f, s), h if len(h) else None, None, doc, low, width, ids, ths)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f, of_file in groupby(streamed(batches), key=lambda r: r.file):
+            with store.writing(folder, [f"{name}-{f}" for name in names]) as outs:
+                for _, rows in groupby(of_file, key=lambda r: r.sub):
+                    for out, values in zip(outs, made_of(_read(list(rows)), span), strict=True):
+                        out(values)
+            yield pd.DataFrame([(f,)], columns=["file"])
+
+    made = {r.file for r in _by_part(df.withColumn("sub", F.lit(0)), parts, divide, sizes).mapInPandas(run, "file int").collect()}  # a row per file
+    store.fill(folder, names, parts.files, made)
 
 
 def equal_strings(contexts: list[bytes], widths: np.ndarray, order: np.ndarray, lows: np.ndarray, span: int) -> list[np.ndarray]:
@@ -211,20 +376,29 @@ def equal_strings(contexts: list[bytes], widths: np.ndarray, order: np.ndarray,
     return [np.flatnonzero(hit[b : b + w + 1]) for b, w in zip(begins, widths, strict=True)]
 
 
-def find_repeats(docs: DataFrame, folder: str, shards: int, span: int, gram: int) -> None:
-    """Arrays cut-<shard>, cutlow-<shard>, cuthigh-<shard> of the byte ranges to remove, by document key."""
+def _strings(contexts: list[bytes], widths: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, context and place of every string of the contexts."""
+    sizes = np.array([len(x) for x in contexts])
+    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=sums[1:])
+    owner = np.repeat(np.arange(len(contexts)), widths + 1)
+    place = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(widths + 1)[:-1]]), widths + 1)
+    start = begins[owner] + place
+    return mix((sums[start + span] - sums[start]) * _power(_INVERSE, len(data) + 1)[start]), owner, place
+
 
-    def send(held: list[tuple], ids: np.ndarray, ths: np.ndarray) -> pd.DataFrame:
-        doc, low, width, h, c = (np.concatenate(x) for x in zip(*held, strict=True))
-        first, again = _settle(h, c, doc, low, ids, ths)
-        rows = _repeat_rows(shards, shards, doc[again], low[again], width[again], ids, ths) if len(again) else []
-        for s, at in _split(store.shard_of(h[first], shards), shards):
-            mine = first[at]
-            rows.append(_row(s, RUNS, h[mine], c[mine], doc[mine], low[mine], width[mine], ids, ths))
-        return pd.DataFrame(rows, columns=_COLUMNS)
+def find_repeats(docs: DataFrame, folder: str, parts: store.Parts, span: int, gram: int, sizes: Sizes) -> None:
+    """Arrays cut-<file>, cutlow-<file>, cuthigh-<file> of the byte ranges to remove, by document key."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, ids, ths, docs_held = [], 0, [], [], 0
+
+        def send() -> pd.DataFrame:
+            doc, low, width, h, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            return _frame(_settled(RUNS, parts, (h, c, doc, low, width, np.concatenate(ids), np.concatenate(ths)), sizes.task_hot))
+
         for pdf in batches:
             ids.append(pdf.doc_id.to_numpy("<i8"))
             ths.append(pdf.th.to_numpy("<i8"))
@@ -233,120 +407,95 @@ def find_repeats(docs: DataFrame, folder: str, shards: int, span: int, gram: int
                 held.append((doc + docs_held, *rest))
                 size += len(doc)
             docs_held += len(pdf)
-            if size > GATHERED:
-                yield send(held, np.concatenate(ids), np.concatenate(ths))
+            if size > sizes.gathered:
+                yield send()
                 held, size, ids, ths, docs_held = [], 0, [], [], 0
         if size:
-            yield send(held, np.concatenate(ids), np.concatenate(ths))
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = int(pdf.shard.iloc[0])
-        if s >= shards:
-            pdf = pdf.copy()
-            pdf["shard"] = s - shards
-            return pdf[_COLUMNS]
-        h, c, doc, low, width, ids, ths = _read(pdf)
-        first, again = _settle(h, c, doc, low, ids, ths)
-        rows = _repeat_rows(shards, 0, doc[again], low[again], width[again], ids, ths) if len(again) else []
-        first = first[np.argsort(h[first], kind="stable")]
-        grams = h[first]
-        new = np.concatenate([[True], grams[1:] != grams[:-1]])
-        several = first[np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1]
-        if len(several):
-            rows += _repeat_rows(shards, 0, doc[several], low[several], width[several], ids, ths, CONTESTED, h[several])
-        return pd.DataFrame(rows, columns=_COLUMNS)
-
-    found = written(docs.mapInPandas(scan, _SCHEMA).groupBy("shard").applyInPandas(settle, _SCHEMA), "repeats")
-
-    def want(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = int(pdf.shard.iloc[0])
-        h, _, doc, low, width, ids, ths = _read(pdf)
-        keys = doc_keys(ids, ths)[doc]
-        order = np.lexsort((low, keys))
-        for name, values in (("want", keys), ("wantlow", low.astype("<u8")), ("wantwidth", width.astype("<u8")), ("wanth", h)):
-            store.put(folder, f"{name}-{s}", values[order])
-        return pd.DataFrame([(s, len(keys))], columns=["shard", "n"])
-
-    sums = found.filter(F.col("kind") == CONTESTED).groupBy("shard").applyInPandas(want, "shard int, n bigint").collect()  # a row per shard
-    for s in set(range(shards)) - {r.shard for r in sums}:
-        for name in ("want", "wantlow", "wantwidth", "wanth"):
-            store.put(folder, f"{name}-{s}", np.empty(0, "<u8"))
+            yield send()
+
+    sent = docs.mapInPandas(scan, _SCHEMA)
+    # Repeats and hot runs of the first scan travel with the runs, to the tasks of their documents' files, and pass through.
+    found = written(_settle_all(sent, parts, RUNS, sizes), "repeats")
+    _write_arrays(found.filter(F.col("kind").isin(CONTESTED, HOT_RUNS)), folder, WANT, parts, span, _wanted, sizes)
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, ths = pdf.doc_id.to_numpy("<i8"), pdf.th.to_numpy("<i8")
-            rows = []
-            for i, s, a, b in _ranges(doc_keys(ids, ths), folder, "want", shards):
+            keys, rows = doc_keys(ids, ths), []
+            for i, f, a, b in _ranges(keys, folder, "want", parts):
                 data = pdf.data.iloc[i]
-                lows, widths, hs = (store.get(folder, f"{x}-{s}", "<u8")[a:b].astype(np.int64 if x != "wanth" else np.uint64) for x in ("wantlow", "wantwidth", "wanth"))
-                rows += [(int(x), int(ids[i]), int(ths[i]), int(lo), int(w), int(h.view(np.int64)), data[lo : lo + w + span]) for x, lo, w, h in zip(store.shard_of(hs, shards), lows, widths, hs, strict=True)]
-            yield pd.DataFrame(rows, columns=["shard", "doc_id", "th", "low", "width", "h", "context"])
-
-    def sort_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "doc_id", "th", "low"]).reset_index(drop=True)
-        ids, ths = pdf.doc_id.to_numpy("<i8"), pdf.th.to_numpy("<i8")
-        sizes = np.cumsum(pdf.context.str.len().to_numpy())
-        # Whole grams to an array: equal strings have one gram.
-        last = np.flatnonzero(np.diff(pdf.h.to_numpy(), append=pdf.h.iloc[-1] ^ 1) != 0)
-        rows, at, docs_, lows, widths = [], 0, [], [], []
-        order_all = np.unique(np.stack([ids, ths], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
-        while at < len(pdf):
+                lows, widths, hs = (store.get(folder, f"{x}-{f}", "<u8")[a:b].astype(np.int64 if x != "wanth" else np.uint64) for x in WANT[1:])
+                # Hot runs need no meeting: they are dealt by document.
+                files = parts.file_of(np.where(hs == 0, mix(keys[i] + lows.astype(np.uint64)), hs))
+                rows += [(int(x), int(ids[i]), int(ths[i]), int(lo), int(w), int(h.view(np.int64)), data[lo : lo + w + span]) for x, lo, w, h in zip(files, lows, widths, hs, strict=True)]
+            yield pd.DataFrame(rows, columns=["file", "doc_id", "th", "low", "width", "h", "context"])
+
+    def by_gram(rows: Iterator) -> Iterator[list]:
+        """Whole grams of about ARRAY_BYTES; rows of gram 0 in any portions."""
+        held, size = [], 0
+        for h, some in groupby(rows, key=lambda r: r.h):
+            if held and h == 0:
+                yield held
+                held, size = [], 0
+            for r in some:
+                held.append(r)
+                size += len(r.context)
+                if h == 0 and size >= ARRAY_BYTES:
+                    yield held
+                    held, size = [], 0
+            if held and (h == 0 or size >= ARRAY_BYTES):
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in by_gram(streamed(batches)):
             memory.busy()
-            goal = (sizes[at - 1] if at else 0) + ARRAY_BYTES
-            ends = last[(last >= at)]
-            end = int(ends[max(0, np.searchsorted(sizes[ends], goal, side="right") - 1)]) + 1
-            some = slice(at, end)
-            hits = equal_strings(list(pdf.context[some]), pdf.width.to_numpy()[some], order_all[some], pdf.low.to_numpy()[some], span)
-            for i, hit in zip(range(at, end), hits, strict=True):
-                if len(hit):
-                    cut = np.flatnonzero(np.diff(hit) > 1)
-                    heads, tails = hit[np.concatenate([[0], cut + 1])], hit[np.concatenate([cut, [len(hit) - 1]])]
-                    docs_.append(np.full(len(heads), i))
-                    lows.append(pdf.low[i] + heads)
-                    widths.append(tails - heads)
-            at = end
-        if docs_:
-            rows = _repeat_rows(shards, 0, np.concatenate(docs_), np.concatenate(lows), np.concatenate(widths), ids, ths)
-        return pd.DataFrame(rows, columns=_COLUMNS)
-
-    contexts = docs.mapInPandas(fetch, "shard int, doc_id bigint, th bigint, low bigint, width bigint, h bigint, context binary")
-    more = contexts.groupBy("shard").applyInPandas(sort_shard, _SCHEMA)
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = int(pdf.shard.iloc[0])
-        return pd.DataFrame([(s, _sorted_arrays(pdf, folder, "cut", s, span))], columns=["shard", "n"])
-
-    done = found.filter(F.col("kind") == REPEATS).unionByName(more).groupBy("shard").applyInPandas(cut, "shard int, n bigint").collect()
-    for s in set(range(shards)) - {r.shard for r in done}:
-        for name in ("cut", "cutlow", "cuthigh"):
-            store.put(folder, f"{name}-{s}", np.empty(0, "<u8"))
-
-
-def _ranges(keys: np.ndarray, folder: str, name: str, shards: int) -> Iterator[tuple[int, int, int, int]]:
-    """(row, shard, from, to) of the rows that have entries in a sharded array with repeated keys."""
+            ids, ths, lows, widths = (np.array([getattr(r, x) for r in some], dtype="<i8") for x in ("doc_id", "th", "low", "width"))
+            contexts = [r.context for r in some]
+            if some[0].h == 0:
+                h, owner, place = _strings(contexts, widths, span)
+                yield _frame(_settled(STRINGS, parts, (h, h, owner, lows[owner] + place, np.zeros(len(h), dtype=np.int64), ids, ths), 0))
+                continue
+            order = np.unique(np.stack([ids, ths], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+            hits = equal_strings(contexts, widths, order, lows, span)
+            owner, place = np.repeat(np.arange(len(some)), [len(x) for x in hits]), np.concatenate(hits)
+            new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)]) if len(owner) else np.empty(0, dtype=bool)
+            heads = np.flatnonzero(new)
+            tails = np.concatenate([heads[1:] - 1, [len(owner) - 1]]) if len(owner) else heads
+            yield _frame(_by_file(REPEATS, parts, None, None, owner[heads], lows[owner[heads]] + place[heads], place[tails] - place[heads], ids, ths))
+
+    schema = "file int, doc_id bigint, th bigint, low bigint, width bigint, h bigint, context binary"
+    contexts = docs.mapInPandas(fetch, schema).repartition(parts.files, "file").sortWithinPartitions("h", "doc_id", "th", "low")
+    more = written(contexts.mapInPandas(compare, _SCHEMA), "compared")
+    named = _settle_all(more.filter(F.col("kind") == STRINGS), parts, STRINGS, sizes)
+    repeats = F.col("kind") == REPEATS
+    _write_arrays(found.filter(repeats).unionByName(more.filter(repeats)).unionByName(named), folder, CUT, parts, span, _joined, sizes)
+
+
+def _ranges(keys: np.ndarray, folder: str, name: str, parts: store.Parts) -> Iterator[tuple[int, int, int, int]]:
+    """(row, file, from, to) of the rows that have entries in a sorted array with repeated keys."""
     order = np.argsort(keys)
-    edges = store.shard_edges(keys[order], shards)
-    for s in range(shards):
-        mine = order[edges[s] : edges[s + 1]]
-        if len(mine):
-            found = store.get(folder, f"{name}-{s}", "<u8")
-            low, high = np.searchsorted(found, keys[mine]), np.searchsorted(found, keys[mine], side="right")
-            for i, a, b in zip(mine.tolist(), low.tolist(), high.tolist(), strict=True):
-                if b > a:
-                    yield i, s, a, b
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, with_kept: bool = True) -> DataFrame:
+    for f, x, y in parts.files_in(keys[order]):
+        mine, found = order[x:y], store.get(folder, f"{name}-{f}", "<u8")
+        low, high = np.searchsorted(found, keys[mine]), np.searchsorted(found, keys[mine], side="right")
+        for i, a, b in zip(mine.tolist(), low.tolist(), high.tolist(), strict=True):
+            if b > a:
+                yield i, f, a, b
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, with_kept: bool = True, sizes: Sizes = Sizes()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed ranges and (unless left out) kept bytes of every row."""
     spark = docs.sparkSession
     source = _identity(docs, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    shards, folder = max(4, size // SHARD_BYTES), fresh_dir(spark, "repeats")
-    find_repeats(source, folder, shards, span, gram)
+    parts, folder = store.parts_for(size, SHARD_BYTES, 16), fresh_dir(spark, "repeats")
+    find_repeats(source, folder, parts, span, gram, sizes)
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            spans = {i: (s, a, b) for i, s, a, b in _ranges(doc_keys(pdf.doc_id.to_numpy("<i8"), pdf.th.to_numpy("<i8")), folder, "cut", shards)}
+            spans = {i: (s, a, b) for i, s, a, b in _ranges(doc_keys(pdf.doc_id.to_numpy("<i8"), pdf.th.to_numpy("<i8")), folder, "cut", parts)}
             rows = []
             for i, (doc_id, data) in enumerate(zip(pdf.doc_id, pdf.data, strict=True)):
                 lows = highs = []

@@ -162,6 +162,32 @@ def test_repeats_edited_periodic_and_long(spark, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == expected
 
 
+def found_repeats(spark, rows, tasks=4, **options):
+    found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(tasks), **options).collect()
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found}
+
+
+def test_repeats_of_a_passage_in_very_many_settings(spark, docs):
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    passage = " ".join(word() for _ in range(40))
+    common = [word() for _ in range(6)]
+    rows = []
+    for i in range(5000):
+        ends = [" ".join(rng.choice(common) if rng.random() < 0.5 else word() for _ in range(rng.randint(0, 12))) for _ in range(2)]
+        rows.append((i, f"{ends[0]} {passage[rng.randint(0, 9) :] if i % 7 else passage} {ends[1]}"))
+    assert found_repeats(spark, rows, 6) == brute.repeats(rows)
+
+
+@pytest.mark.parametrize("sizes", [(2_000, 1, 1), (3_000, 2, 4), (10**6, 3, 2), (5_000, 10**9, 10**9)])
+def test_repeats_with_many_parts_and_hot_grams(spark, docs, monkeypatch, sizes):
+    """Parts of a few bytes, sixteen files, tasks that gather little: the same ranges, whatever counts as hot."""
+    rows = [(r.doc_id, r.text) for r in docs]
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 100)
+    monkeypatch.setattr(store, "MOST_FILES", 16)
+    assert found_repeats(spark, rows, sizes=repeats.Sizes(*sizes)) == brute.repeats(rows)
+
+
 # -- language model ----------------------------------------------------------------------------------
 
 
