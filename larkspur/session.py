@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,16 +31,24 @@ def get_session(app: str = "larkspur", master: str | None = None, **conf: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine one of our own where unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        # Only sessions without a cluster's setting (tests, one machine) come here.
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="larkspur-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+# Folders made and not yet removed, in order.
+_MADE: dict[str, None] = {}
+
+
 def _remove(spark: SparkSession, path: str) -> None:
+    if path not in _MADE:
+        return
+    del _MADE[path]
     try:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -50,12 +59,15 @@ def _remove(spark: SparkSession, path: str) -> None:
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A path of its own below the shared folder, removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/larkspur-{name}-{uuid.uuid4().hex}"
+    _MADE[path] = None
     atexit.register(_remove, spark, path)
     return path
 
 
-def drop_dir(spark: SparkSession, path: str) -> None:
-    _remove(spark, path)
+def _read_back(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -63,4 +75,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _read_back(spark, df, path)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes what ``written`` made, once nothing reads it any more."""
+    _remove(df.sparkSession, df._written_to)
+
+
+def written_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Write what ``make`` gives and remove all that it wrote on the way."""
+    path, before = fresh_dir(spark, name), set(_MADE)
+    df = make()
+    df.write.parquet(path)
+    for made in [x for x in _MADE if x not in before]:
+        _remove(spark, made)
+    return _read_back(spark, df, path)
