@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.session import written
+from larkspur.session import discard, written
 
 # Parts into which the rows of one group are dealt.
 SALTS = 1024
@@ -46,7 +46,9 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         large = written(large.filter("x <> y").select(pairs("x", "y").alias("e")).select("e.*").distinct(), "large")
         least = group_least(large, "a", "b", "b")
         small = join_back(large, least, "a", "b").select(F.explode(F.array(pairs("a", "least"), pairs("b", "least"))).alias("e")).select("e.*")
-        stars = written(small.filter("a <> b").distinct(), "small")
+        before, stars = stars, written(small.filter("a <> b").distinct(), "small")
+        discard(before)
+        discard(large)
         now = mark(stars)
         if now == seen:
             centres = stars.select("b").unionAll(loops.select("b")).distinct().select(F.col("b").alias("node"), F.col("b").alias("label"))

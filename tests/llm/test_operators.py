@@ -622,21 +622,77 @@ def test_odd_results(odd_docs):
         by_source[r.source] += r.taken
     assert all(abs(by_source[r.source] - r.target) <= 1 for r in allotted)
     check_packing([r for r in packing.pack(odd_docs.dropDuplicates(["doc_id"])).collect()], {r.doc_id: r.text for r in odd_docs.dropDuplicates(["doc_id"]).collect()})
+    pieces, encode = packing.pack(odd_docs).collect(), encoder()  # repeated rows are packed each
+    assert sum(r.length for r in pieces) == sum(len(encode(r.text)) + 1 for r in odd_docs.collect())
+    assert Counter(r.doc_id for r in pieces)[40] == 2 and len({(r.sequence_id, r.offset) for r in pieces}) == len(pieces)
+    lengths = Counter(len(encode(r.text)) for r in odd_docs.collect())
+    assert {r.n_tokens: r.n_docs for r in tokens.length_histogram(odd_docs).collect()} == lengths
 
 
-def test_pipeline_stages(spark, odd_docs):
+def plain_lines(rows):
+    """Texts without lines whose keys are in five documents or more, but in the largest of them."""
+    held = defaultdict(set)
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(brute.ASCII)
+    for i, text in rows:
+        for line in (text or "").split("\n"):
+            if len(key(line)) >= 40:
+                held[key(line)].add(i)
+    lost = lambda i, line: len(held[key(line)]) >= 5 and i != max(held[key(line)])
+    return [(i, "\n".join(line for line in (text or "").split("\n") if not lost(i, line))) for i, text in rows]
+
+
+def test_pipeline_equals_its_plain_version(spark, monkeypatch):
+    """The rules' verdicts are held by tests of their own; all that follows is made again plainly."""
     import corpus_pipeline
 
-    docs = odd_docs.select(*corpus_pipeline.COLUMNS)
-    for name, stage in corpus_pipeline.STAGES[1:-1]:
-        docs = stage(spark, docs, SF)
-        assert docs.columns == corpus_pipeline.COLUMNS, name
     source = spark.read.parquet(f"{SF}/documents.parquet")
-    good = corpus_pipeline.rules(spark, source, SF)
     kept = {r.doc_id for r in quality_rules.verdicts(source).filter("kept").collect()}
-    assert {r.doc_id for r in good.collect()} == kept
-    rows = corpus_pipeline.run(spark, SF).collect()
-    assert rows and {r.doc_id for r in rows} <= kept
+    rows = {r.doc_id: r for r in source.collect()}
+    texts = plain_lines([(i, rows[i].text) for i in sorted(kept)])
+    groups = plain_components(texts, 5, 80)
+    texts = [(i, t, rows[i].source) for i, t in texts if groups[i][1] == i]
+    taken, _ = plain_mix(texts)
+    copies = Counter()
+    for (i, text, _), words in taken.items():
+        size = len(brute.words(text))
+        copies[i] += sum(-(-w // max(size, 1)) for w in words if w)
+    packed = corpus_pipeline.run(spark, SF).collect()
+    encode, text_of = encoder(), {i: t for i, t, _ in texts}
+    tokens_of = {i: len(encode(text_of[i])) + 1 for i in copies if copies[i]}
+    words = Counter()
+    for r in packed:
+        words[r.doc_id] += r.length
+    assert words == Counter({i: n * copies[i] for i, n in tokens_of.items()})
+    for r in packed:
+        ids = np.array([*encode(text_of[r.doc_id]), 2], dtype="<u4")[r.start : r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(ids.tobytes()) and r.doc_tokens == tokens_of[r.doc_id]
+    by_sequence = defaultdict(list)
+    for r in packed:
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    for found in by_sequence.values():
+        ends = [a + n for a, n in sorted(found)]
+        assert [a for a, _ in sorted(found)] == [0, *ends[:-1]] and ends[-1] <= 4096
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd_docs, no_docs):
+    import corpus_pipeline
+
+    for table in (odd_docs, no_docs):
+        docs = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            made = stage(spark, docs, SF)
+            assert made.columns == corpus_pipeline.COLUMNS, name
+            made.collect()
+            docs = table if name == "quality_rules" else made
+        assert corpus_pipeline.packed(spark, docs, SF).count() >= docs.count()
+
+
+def test_keep_good_on_odd_table(odd_docs):
+    text = " ".join(f"some plain words number {chr(97 + i % 26) * (1 + i % 5)}" for i in range(30))
+    rows = odd_docs.unionByName(odd_docs.limit(1).select(*[F.lit(text).alias(c) if c == "text" else F.col(c) for c in odd_docs.columns]))
+    good = quality_rules.keep_good(rows)
+    verdict = Counter(r.kept for r in quality_rules.verdicts(rows).collect())
+    assert good.columns == odd_docs.columns and good.count() == verdict[True] and verdict[True] + verdict[False] == rows.count()
 
 
 # -- least values of hot groups ----------------------------------------------------------------------
