@@ -1,7 +1,13 @@
 """Corpus pipeline: quality rules, line dedup, near-duplicate removal, source mixing, packing.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the next
-stage's documents. All but the last return the columns of documents.
+stage's documents; what a stage writes on the way is removed when it ends. All but the last return the
+columns of documents.
+
+Edge cases are those of the operators: NULL and blank texts fail the quality rules, NULL sources and languages
+are groups, repeated rows are kept by the rules, lose equal lines alike, count once among near duplicates;
+very long texts are worked whole; n_chars follows the text, and columns beside those of documents are dropped.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import line_dedup, mixing, ngram_join, packing, quality_rules
-from larkspur.session import written
+from larkspur.session import written_alone
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -48,12 +54,12 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", rules), ("line_dedup", lines), ("near_duplicates", near), ("source_mix", mixture), ("packing", packed)]
 
-# Robust estimates, hashed sampling keys and tokenization are beyond SQL: tests hold each stage against plain versions.
+# Robust estimates, hashed sampling keys and tokenization are beyond SQL: tests hold the rows of run() against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written_alone(spark, lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
