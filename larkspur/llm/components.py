@@ -35,8 +35,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     written to the shared folder, and only counts reach the driver.
     """
     pairs = lambda a, b: F.struct(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-    loops = edges.filter("a = b").select("a", "b")
-    stars = written(edges.filter("a <> b").select(pairs("a", "b").alias("x")).select("x.*").distinct(), "edges")
+    given = written(edges.select(pairs("a", "b").alias("x")).select("x.*").distinct(), "edges")
+    loops, stars = given.filter("a = b"), written(given.filter("a <> b"), "stars")
     mark = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 20)))).first()
     seen = mark(stars)
     for _ in range(rounds):

@@ -371,8 +371,8 @@ def long_links(long: DataFrame, found: DataFrame, folder: str, percent: int) ->
         linked = keys != keys[root]
         return pd.DataFrame({"a": keys[linked], "b": keys[root[linked]]})
 
-    met_blocks = int(asked.join(many, "token").agg(F.sum(F.ceil(F.col("m") / BLOCK))).first()[0] or 1) // BLOCK
-    tasks = min(20_000, max(16, met_blocks))
+    pairs = many.join(of_list.select("token", "m"), "token").agg(F.sum(F.ceil(F.col("m") / BLOCK) * F.ceil(F.col("u") / BLOCK))).first()[0]
+    tasks = int(min(20_000, max(16, pairs // 2)))
     return to_pivots.unionAll(both.repartition(tasks, "token", "i", "j").groupBy("token", "i", "j").applyInPandas(search, LINK))
 
 
