@@ -91,7 +91,7 @@ def by_file(packed: DataFrame, files: int, subs: int, subs_in: Callable, use: Ca
             parts = every(rows)
             yield from use(f, parts)
 
-    dealt = packed.repartition(files, "file")
+    dealt = packed.repartitionById(files, "file")
     if subs > 1:
         dealt = dealt.sortWithinPartitions("file").mapInPandas(divide, PACKED)
     return dealt.sortWithinPartitions("file", "sub").mapInPandas(run, schema)

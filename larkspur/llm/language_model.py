@@ -216,7 +216,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
             yield pd.DataFrame([(w, *kinds, int((counts > 2).sum()), int(counts.sum()))], columns=["words", "t1", "t2", "t3", "t4", "t3up", "types"])
 
     few = sent.filter("words < 0").groupBy().agg(*[F.sum(f"t{k}") for k in (1, 2, 3, 4)]).first()
-    dealt = sent.filter("words >= 0").repartition(parts.files, "words").sortWithinPartitions("words")
+    dealt = sent.filter("words >= 0").repartitionById(parts.files, "words").sortWithinPartitions("words")
     conts = dealt.mapInPandas(merge_contexts, "words int, t1 bigint, t2 bigint, t3 bigint, t4 bigint, t3up bigint, types bigint").collect()  # a row per file
     store.fill(folder, ["cont"], parts.files, {r.words for r in conts})
     cont = [sum(r[i] for r in conts) for i in range(1, 7)]

@@ -209,7 +209,7 @@ def _by_part(df: DataFrame, parts: store.Parts, divide: Callable[[int, list], li
             for some in held_rows(rows, lambda r: max(1, len(r.low) // 4), sizes.gathered):
                 yield _frame(divide(f, some))
 
-    dealt = df.repartition(parts.files, "file")
+    dealt = df.repartitionById(parts.files, "file")
     if parts.subs > 1:
         dealt = dealt.sortWithinPartitions("file").mapInPandas(run, _SCHEMA)
     return dealt.sortWithinPartitions("file", "sub")
@@ -467,7 +467,7 @@ def find_repeats(docs: DataFrame, folder: str, parts: store.Parts, span: int, gr
             yield _frame(_by_file(REPEATS, parts, None, None, owner[heads], lows[owner[heads]] + place[heads], place[tails] - place[heads], ids, ths))
 
     schema = "file int, doc_id bigint, th bigint, low bigint, width bigint, h bigint, context binary"
-    contexts = docs.mapInPandas(fetch, schema).repartition(parts.files, "file").sortWithinPartitions("h", "doc_id", "th", "low")
+    contexts = docs.mapInPandas(fetch, schema).repartitionById(parts.files, "file").sortWithinPartitions("h", "doc_id", "th", "low")
     more = written(contexts.mapInPandas(compare, _SCHEMA), "compared")
     named = _settle_all(more.filter(F.col("kind") == STRINGS), parts, STRINGS, sizes)
     repeats = F.col("kind") == REPEATS
