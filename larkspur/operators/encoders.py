@@ -203,7 +203,9 @@ class Pipeline:
         self.stages, self.fitted = list(stages), False
 
     def add(self, stage) -> Pipeline:
+        """The pipeline has to be fitted again."""
         self.stages.append(stage)
+        self.fitted = False
         return self
 
     def fit(self, df: DataFrame) -> Pipeline:

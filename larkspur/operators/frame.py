@@ -275,9 +275,10 @@ class Frame:
                 "max": F.coalesce(F.max(value), F.lit(-INF)),
                 "min": F.coalesce(F.min(value), F.lit(INF)),
             }
-            for op in [ops] if isinstance(ops, str) else ops:
+            wanted = [ops] if isinstance(ops, str) else list(ops)
+            for op in wanted:
                 if op in found:
-                    out = name if isinstance(ops, str) else f"{name}_{op}"
+                    out = name if len(wanted) == 1 else f"{name}_{op}"
                     exprs.append(found[op].alias(f"_agg_{len(exprs)}"))
                     names.append(out)
         first = [F.min(F.struct(*self._ordered_names())).alias("_first")] if ordered else []
@@ -296,7 +297,9 @@ class Frame:
         """key, sum, count over rows with a key and a number."""
         if key not in self.df.columns or value not in self.df.columns:
             raise KeyError("Column not found")
-        number = parse_float(self._col(value), self._type(value))
+        # Numbers only: text that begins with one does not count.
+        kind = self._type(value)
+        number = comparable(self._col(value), kind).cast("double") if isinstance(kind, NUMBERS) else F.lit(None).cast("double")
         kept = self.df.filter(self._col(key).isNotNull() & (self._col(key).cast("string") != "") & number.isNotNull())
         return kept.groupBy(self._col(key)).agg(F.sum(number).alias("sum"), F.count(number).alias("count"))
 

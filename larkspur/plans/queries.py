@@ -457,6 +457,46 @@ def csv_roundtrip(spark, d):
     return read_csv(spark, path, schema=NATION).data
 
 
+@query("SELECT o_orderkey, o_orderpriority FROM orders")
+def csv_directory_roundtrip(spark, d):
+    """Many parts, each with the header."""
+    path = fresh_dir(spark, "csv") + ".csv"
+    orders = table(spark, d, "orders").select(["o_orderkey", "o_orderpriority"])
+    to_csv(Frame(orders.data.repartition(4)), path)
+    return read_csv(spark, path, schema="o_orderkey bigint, o_orderpriority string").data
+
+
+@query("""SELECT doc_id, text, '"' || lang || '", ' || coalesce(source, '') AS note FROM documents""")
+def csv_quoted_cells(spark, d):
+    """Cells with quotes, delimiters and line breaks."""
+    path = fresh_dir(spark, "csv") + ".csv"
+    note = F.concat(F.lit('"'), "lang", F.lit('", '), F.coalesce("source", F.lit("")))
+    to_csv(Frame(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", note.alias("note"))), path)
+    return read_csv(spark, path, schema="doc_id bigint, text string, note string", multiline=True).data
+
+
+def _json_file(spark, text: str) -> str:
+    path = fresh_dir(spark, "texts") + ".json"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+@query("SELECT * FROM (VALUES (1.0::DOUBLE, 'x}'), (2.0, NULL), (3.0, 'z')) AS t(a, \"b.c\")")
+def json_concatenated(spark, d):
+    return read_json(spark, _json_file(spark, '{"a":1,"b":{"c":"x}"}}{"a":2}\n{"a":3,"b":{"c":"z"}}')).data
+
+
+@query("SELECT 0::BIGINT AS n_rows, 0 AS n_columns")
+def json_primitive_array(spark, d):
+    df = read_json(spark, _json_file(spark, '[1, "two", [3], null]')).data
+    return df.groupBy().agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
+
+
+@query("SELECT * FROM (VALUES (1.0::DOUBLE), (2.0)) AS t(a)")
+def json_broken_tail(spark, d):
+    return read_json(spark, _json_file(spark, '[{"a":1},{"a":2},{"a":3, "b":[1')).data
+
+
 @query("SELECT n_nationkey::DOUBLE AS n_nationkey, NULL::DOUBLE AS n_name, n_regionkey::DOUBLE AS n_regionkey FROM nation")
 def csv_numeric_only(spark, d):
     path = fresh_dir(spark, "csv") + ".csv"

@@ -5,8 +5,11 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,8 +43,17 @@ def banded_sample(lines: DataFrame, rows: int) -> list[str]:
     band = max(1, rows // 3)
     middle = max(0, total // 2 - band // 2)
     starts = [(0, band), (middle, middle + band), (total - band, total)]
-    wanted = lines.rdd.map(lambda r: r.value).zipWithIndex().filter(lambda x: any(a <= x[1] < b for a, b in starts))
-    return [line for line, _ in wanted.collect()]
+    # An id holds the partition above bit 33 and the place in it below: counts per partition turn bands into ranges of ids.
+    placed = lines.withColumn("_id", F.monotonically_increasing_id())
+    counts = sorted(placed.groupBy(F.shiftright("_id", 33).alias("part")).count().collect())
+    inside, before = F.lit(False), 0
+    for part, n in counts:
+        for a, b in starts:
+            low, high = max(a, before), min(b, before + n)
+            if low < high:
+                inside = inside | F.col("_id").between((part << 33) + low - before, (part << 33) + high - before - 1)
+        before += n
+    return [r.value for r in placed.filter(inside).orderBy("_id").collect()]
 
 
 def vote(lines: list[str]) -> dict[tuple[str, ...], str]:
@@ -103,24 +115,40 @@ def name_order(name: str) -> tuple:
     return (re.sub(r"[\W_]", "", name.casefold()), name.swapcase())
 
 
-def json_objects(text: str):
-    """The balanced top-level objects of a JSON text: array members, a root object, or concatenated ones."""
-    decoder, at, depth = json.JSONDecoder(), 0, 0
-    while at < len(text):
-        char = text[at]
-        if char == "{":
-            record, at = decoder.raw_decode(text, at)
-            yield record
-        elif char == '"':
-            _, at = decoder.raw_decode(text, at)
-        else:
-            depth += (char == "[") - (char == "]")
-            at += 1
+# Whole strings (open ones up to the end of the text) and brackets.
+_MARKS = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?$)|[{}\[\]]', re.DOTALL)
+
+
+def json_objects(text: str) -> Iterator[str]:
+    """The balanced top-level objects of a text as they are written: array members, a root object, or concatenated
+    ones. What stands between them is passed over, and an object that does not end is left out."""
+    at = text.find("{")
+    while at >= 0:
+        depth, end = 0, -1
+        for mark in _MARKS.finditer(text, at):
+            depth += (mark[0] in "{[") - (mark[0] in "}]")
+            if not depth and mark[0] in "}]":
+                end = mark.end()
+                break
+        if end < 0:
+            return
+        yield text[at:end]
+        at = text.find("{", end)
+
+
+def json_records(texts: DataFrame) -> DataFrame:
+    """value: the objects of whole files' texts. A file is read by one task, its records leave it in batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for text in pdf["value"]:
+                found = json_objects(text)
+                while some := list(islice(found, 5_000)):
+                    yield pd.DataFrame({"value": some})
+
+    return texts.mapInPandas(run, "value string")
 
 
-def sample_json_records(spark: SparkSession, path: str, rows: int = 500) -> list[dict]:
-    """The first ``rows`` records of JSON files, parsed by Spark; malformed input raises."""
-    sample = spark.read.option("multiLine", True).option("mode", "FAILFAST").option("primitivesAsString", False).json(path)
-    if not sample.columns:
-        return []
-    return [json.loads(r[0]) for r in sample.limit(rows).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
+def sample_json_records(records: DataFrame, rows: int = 500) -> list[dict]:
+    """The first records, parsed; malformed ones raise."""
+    return [json.loads(r.value) for r in records.limit(rows).collect()]

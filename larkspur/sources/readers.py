@@ -19,6 +19,7 @@ from larkspur.sources.infer import (
     first_record_kinds,
     flat_columns,
     flatten,
+    json_records,
     name_order,
     sample_json_records,
     struct_type,
@@ -47,12 +48,11 @@ def _delimited(spark: SparkSession, path: str, delimiter: str):
     return spark.read.option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"')
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",", schema: T.StructType | str | None = None, numeric_only: bool = False, multiline: bool = True) -> Frame:
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", schema: T.StructType | str | None = None, numeric_only: bool = False, multiline: bool = False) -> Frame:
     """A header row is required. Without ``schema`` every column is text.
 
-    ``numeric_only`` parses every cell as a plain number (NULL for anything else). ``multiline``
-    allows line breaks in quoted cells but keeps a file in one task: switch it off for huge files
-    without such cells.
+    ``numeric_only`` parses every cell as a plain number (NULL for anything else). Files are split over
+    tasks; ``multiline`` allows line breaks in quoted cells but keeps a file in one task.
     """
     source = _delimited(spark, path, delimiter).option("multiLine", multiline)
     if schema is not None:
@@ -72,17 +72,27 @@ def read_parquet(spark: SparkSession, path: str, order_by: Sequence[str] | None
     return Frame(spark.read.parquet(path), order_by, {"source": path})
 
 
+def _json_texts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True)
+
+
 def json_schema(spark: SparkSession, path: str) -> T.StructType:
-    return struct_type(first_record_kinds(sample_json_records(spark, path)))
+    return struct_type(first_record_kinds(sample_json_records(json_records(_json_texts(spark, path)))))
+
+
+def json_rows(texts: DataFrame, schema: T.StructType) -> DataFrame:
+    """Flattened rows of the objects in whole files' texts; a balanced object that is no JSON raises."""
+    parsed = json_records(texts).select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("_record"))
+    return flatten(parsed.select("_record.*"))
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> Frame:
-    """Array members or a root object as rows, nested objects as dotted columns, arrays as JSON text."""
+    """Array members, a root object or concatenated objects as rows, nested objects as dotted columns, arrays as
+    JSON text. Arrays of other values have no rows, an object that does not end is left out."""
     schema = schema or json_schema(spark, path)
     if not schema.fields:
         return Frame(spark.createDataFrame([], T.StructType()), metadata={"source": path})
-    df = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(schema).json(path)
-    return Frame(flatten(df), metadata={"source": path})
+    return Frame(json_rows(_json_texts(spark, path), schema), metadata={"source": path})
 
 
 class NdjsonScan:
@@ -130,9 +140,8 @@ def read_ndjson(spark: SparkSession, path: str, **options) -> Frame:
 
 
 def json_to_ndjson(spark: SparkSession, source: str, target: str) -> None:
-    """Each top-level object on a line of its own, nulls kept."""
-    df = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(source)
-    df.write.option("ignoreNullFields", "false").json(target)
+    """Each top-level object on a line of its own, as it is written; line breaks between its parts become blanks."""
+    json_records(_json_texts(spark, source)).select(F.regexp_replace("value", r"\r?\n|\r", " ").alias("value")).write.text(target)
 
 
 def from_objects(spark: SparkSession, rows: Sequence[dict], schema: T.StructType | str | None = None) -> Frame:
@@ -187,10 +196,6 @@ def from_shared(spark: SparkSession, buffer: bytes, columns: Sequence[dict]) ->
 
 def ingest(spark: SparkSession, path: str, transforms: Sequence[dict] = (), **options) -> Frame:
     """Delimited scan with derived columns ``{name, formula}`` (SQL text) fused into the same stage."""
-    frame = read_csv(spark, path, multiline=False, **options)
+    frame = read_csv(spark, path, **options)
     frame.df = frame.df.selectExpr("*", *[f"{t['formula']} AS {quoted(t['name'])}" for t in transforms])
     return frame
-
-
-def parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +30,17 @@ def with_extension(path: str, ext: str) -> str:
 
 
 def _lines(df: DataFrame, line: Column, header: str | None, path: str, single: bool) -> None:
-    """Text lines to a directory; the header stands at the top of each part, as Spark's CSV has it."""
+    """Text lines to a directory; each part begins with the header."""
     out = df.select(line.alias("value"))
+    out = out.coalesce(1) if single else out
     if header is not None:
-        spark = df.sparkSession
-        first = spark.createDataFrame([(header,)], "value string")
-        out = first.coalesce(1).unionAll(out)
-    (out.coalesce(1) if single else out).write.text(path)
+
+        def headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield pd.DataFrame({"value": [header]})
+            yield from batches
+
+        out = out.mapInPandas(headed, "value string")
+    out.write.text(path)
 
 
 def _csv_cell(column: Column, kind, delimiter: str) -> Column:
@@ -43,15 +50,15 @@ def _csv_cell(column: Column, kind, delimiter: str) -> Column:
 
 
 def _quote(text: str, delimiter: str) -> str:
-    return '"' + text.replace('"', '""') + '"' if any(x in text for x in (delimiter, '"', "\n")) else text
+    return '"' + text.replace('"', '""') + '"' if any(x in text for x in (delimiter, '"', "\n", "\r")) else text
 
 
 def csv_line(df: DataFrame, delimiter: str = ",") -> Column:
     return F.concat_ws(delimiter, *[_csv_cell(F.col(quoted(c)), type_of(df, c), delimiter) for c in df.columns])
 
 
-def to_csv(frame: Frame, path: str, delimiter: str = ",", header: bool = True, single: bool = True) -> int:
-    """Quotes only where needed, NULL empty, whole doubles without a fraction. Returns the row count."""
+def to_csv(frame: Frame, path: str, delimiter: str = ",", header: bool = True, single: bool = False) -> int:
+    """Quotes only where needed, NULL empty, whole doubles without a fraction; each part has the header. Returns the row count."""
     df = frame.data
     head = delimiter.join(_quote(c, delimiter) for c in df.columns) if header else None
     _lines(df, csv_line(df, delimiter), head, with_extension(path, "csv"), single)
@@ -78,7 +85,7 @@ def to_json(frame: Frame, path: str, pretty: bool = False, ndjson: bool = False)
     spark = df.sparkSession
     row = json_line(df)
     if pretty:
-        fields = [F.concat(F.lit(f'    "{c}": '), F.regexp_replace(F.to_json(F.struct(comparable(F.col(quoted(c)), type_of(df, c)).alias("v")), {"ignoreNullFields": "false"}), r'^\{"v":|\}$', "")) for c in df.columns]
+        fields = [F.concat(F.lit(f"    {json.dumps(c, ensure_ascii=False)}: "), F.regexp_replace(F.to_json(F.struct(comparable(F.col(quoted(c)), type_of(df, c)).alias("v")), {"ignoreNullFields": "false"}), r'^\{"v":|\}$', "")) for c in df.columns]
         row = F.concat(F.lit("  {\n"), F.concat_ws(",\n", *fields), F.lit("\n  }"))
     rows = df.select(row.alias("value"), F.monotonically_increasing_id().alias("_at"))
     first = rows.agg(F.min("_at").alias("_first"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from larkspur.operators.frame import Frame
 from larkspur.session import fresh_dir
 from larkspur.sources.infer import flatten
-from larkspur.sources.readers import NdjsonScan, json_schema
+from larkspur.sources.readers import NdjsonScan, json_rows, json_schema
 
 
 def stream_frames(spark: SparkSession, path: str, kind: str | None = None, schema: T.StructType | None = None, **options) -> DataFrame:
@@ -26,7 +26,7 @@ def stream_frames(spark: SparkSession, path: str, kind: str | None = None, schem
         return source.schema(schema).option("header", True).option("sep", sep).option("escape", '"').csv(path)
     if kind == "ndjson":
         return flatten(source.schema(schema or NdjsonScan(spark, path)._nested).json(path))
-    return flatten(source.schema(schema or json_schema(spark, path)).option("multiLine", True).json(path))
+    return json_rows(source.text(path, wholetext=True), schema or json_schema(spark, path))
 
 
 def stream_batches(spark: SparkSession, path: str, on_batch: Callable[[Frame], None], batch_size: int = 5000, kind: str | None = None, checkpoint: str | None = None, **options) -> Frame:
