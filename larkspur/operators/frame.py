@@ -376,13 +376,12 @@ class Frame:
         """
         spark = self.df.sparkSession
         parsed = self.df.select(*[parse_float(self._col(c), self._type(c)).alias(f"c{i}") for i, c in enumerate(self.columns)])
-        sums = parsed.agg(*[f(f"c{i}").alias(f"{k}{i}") for i in range(len(self.columns)) for k, f in (("n", F.count), ("a", F.avg), ("lo", F.min), ("hi", F.max))]).first()
-        rows = []
-        for i, name in enumerate(self.columns):
-            if n := sums[f"n{i}"]:
-                ranks = [min(n - 1, int(n * q)) for q in (0.25, 0.5, 0.75)]
-                quartiles = order_statistics(parsed.filter(F.col(f"c{i}").isNotNull()), f"c{i}", ranks)
-                rows.append((name, n, f"{sums[f'a{i}']:.2f}", sums[f"lo{i}"], *quartiles, sums[f"hi{i}"]))
+        sums = [f(f"c{i}").alias(f"{k}{i}") for i in range(len(self.columns)) for k, f in (("n", F.count), ("a", F.avg), ("lo", F.min), ("hi", F.max))]
+        found, quartiles = order_statistics(parsed, [0.25, 0.5, 0.75], sums)
+        rows = [
+            (name, found[f"n{i}"], f"{found[f'a{i}']:.2f}", found[f"lo{i}"], *quartiles[f"c{i}"], found[f"hi{i}"])
+            for i, name in enumerate(self.columns) if f"c{i}" in quartiles
+        ]
         kinds = "column string, count bigint, mean string, min double, `25%` double, `50%` double, `75%` double, max double"
         return spark.createDataFrame(rows, kinds)
 

@@ -45,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
 _MADE: dict[str, None] = {}
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     if path not in _MADE:
         return
     del _MADE[path]
@@ -60,7 +60,7 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     """A path of its own below the shared folder, removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/larkspur-{name}-{uuid.uuid4().hex}"
     _MADE[path] = None
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 
@@ -80,7 +80,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Removes what ``written`` made, once nothing reads it any more."""
-    _remove(df.sparkSession, df._written_to)
+    remove(df.sparkSession, df._written_to)
 
 
 def written_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
@@ -89,5 +89,5 @@ def written_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str)
     df = make()
     df.write.parquet(path)
     for made in [x for x in _MADE if x not in before]:
-        _remove(spark, made)
+        remove(spark, made)
     return _read_back(spark, df, path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.operators.frame import Frame
-from larkspur.session import fresh_dir
+from larkspur.session import fresh_dir, remove
 from larkspur.sources.infer import flatten
 from larkspur.sources.readers import NdjsonScan, json_rows, json_schema
 
@@ -32,7 +32,7 @@ def stream_frames(spark: SparkSession, path: str, kind: str | None = None, schem
 def stream_batches(spark: SparkSession, path: str, on_batch: Callable[[Frame], None], batch_size: int = 5000, kind: str | None = None, checkpoint: str | None = None, **options) -> Frame:
     """Calls ``on_batch`` with frames of at most ``batch_size`` rows until the files are read.
 
-    The checkpoint makes a stopped stream resumable. Batches inside a micro-batch are cut per
+    The checkpoint makes a stopped stream resumable. What ``on_batch`` gets is readable until its micro-batch ends. Batches inside a micro-batch are cut per
     partition, so no global order or sort is needed; they are unordered. Returns an empty frame.
     """
     stream = stream_frames(spark, path, kind, **options)
@@ -42,10 +42,14 @@ def stream_batches(spark: SparkSession, path: str, on_batch: Callable[[Frame], N
         placed = batch.withColumn("_id", F.monotonically_increasing_id())
         # The id holds the partition above bit 33 and the row in it below: a batch is a run of rows of one partition.
         placed = placed.withColumn("_part", F.shiftright("_id", 33)).withColumn("_batch", F.floor(F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) / batch_size))
-        placed = placed.persist()
-        for r in placed.select("_part", "_batch").distinct().orderBy("_part", "_batch").toLocalIterator():
-            on_batch(Frame(placed.filter((F.col("_part") == r._part) & (F.col("_batch") == r._batch)).drop("_part", "_batch").withColumnRenamed("_id", "_row_id"), ["_row_id"]))
-        placed.unpersist()
+        # One job writes every batch to a folder of its own, so a batch reads its own rows alone.
+        path = fresh_dir(spark, "batches")
+        placed.write.partitionBy("_part", "_batch").parquet(path)
+        rows = placed.drop("_part", "_batch").schema
+        for r in spark.read.parquet(path).select("_part", "_batch").distinct().orderBy("_part", "_batch").toLocalIterator():
+            held = spark.read.schema(rows).parquet(f"{path}/_part={r._part}/_batch={r._batch}")
+            on_batch(Frame(held.withColumnRenamed("_id", "_row_id"), ["_row_id"]))
+        remove(spark, path)
 
     query = (
         stream.writeStream.foreachBatch(each).trigger(availableNow=True)

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from larkspur.operators.column import Series
 from larkspur.operators.encoders import NotFitted, Pipeline, StandardScaler
 from larkspur.operators.frame import Frame
+from larkspur.plans import ranks
 from larkspur.sources.infer import banded_sample, json_objects
 from larkspur.sources.readers import from_array, from_objects, from_shared, json_to_ndjson, read_csv, read_json
 from larkspur.sources.writers import report_lines, to_csv, with_extension, write
+from larkspur.streaming.batches import stream_batches
 
 
 @pytest.fixture(scope="module")
@@ -90,3 +92,27 @@ def test_banded_sample(spark, tmp_path):
     (tmp_path / "lines.txt").write_text("\n".join(str(i) for i in range(1000)))
     lines = spark.read.option("maxPartitionBytes", 500).text(f"{tmp_path}/lines.txt").filter("value <> ''")
     assert [int(x) for x in banded_sample(lines, 30)] == [*range(10), *range(495, 505), *range(990, 1000)]
+
+
+@pytest.mark.parametrize("limit", [200_000, 40, 3])
+def test_quartiles_are_exact_however_often_they_are_narrowed(spark, monkeypatch, limit):
+    monkeypatch.setattr(ranks, "ONE_TASK_ROWS", limit)
+    monkeypatch.setattr(ranks, "ACCURACY", 100)
+    monkeypatch.setattr(ranks, "SPREAD", 0.05)
+    columns = {"spread": lambda i: (i * 7919) % 1999 - 900.5, "tied": lambda i: i % 3, "one": lambda i: 5, "rare": lambda i: i / 7 if i % 700 == 0 else None, "none": lambda i: None}
+    rows = [{k: None if f(i) is None else float(f(i)) for k, f in columns.items()} for i in range(2000)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"{k} double" for k in columns))
+    got = {r["column"]: r for r in Frame(df, []).describe().collect()}
+    assert set(got) == {"spread", "tied", "one", "rare"}
+    for name, r in got.items():
+        held = sorted(x[name] for x in rows if x[name] is not None)
+        assert r["count"] == len(held) and (r["min"], r["max"]) == (held[0], held[-1])
+        assert [r["25%"], r["50%"], r["75%"]] == [held[int(len(held) * q)] for q in (0.25, 0.5, 0.75)], name
+
+
+def test_stream_batches_hold_every_row_once(spark, tmp_path):
+    path = str(tmp_path / "in")
+    spark.range(0, 1000, 1, 3).selectExpr("id", "id % 7 AS k").write.json(path)
+    seen = []
+    stream_batches(spark, path, lambda f: seen.append([r["id"] for r in f.data.collect()]), batch_size=64, kind="ndjson")
+    assert all(0 < len(x) <= 64 for x in seen) and sorted(i for x in seen for i in x) == list(range(1000))
