@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 PACKED = "file int, sub int, once binary, more binary, times binary"
 # Keys that a task holds before it sends them.
 GATHERED = 3_000_000
+# Bytes of a batch between Spark and a worker: rows hold up to GATHERED keys, so their number alone bounds nothing.
+BATCH_BYTES = 8 << 20
 
 
 def _rows(found: np.ndarray, counts: np.ndarray, runs: Iterator[tuple[int, int, int]], place: Callable[[int], tuple[int, int]]) -> pd.DataFrame:
@@ -65,8 +67,10 @@ def streamed(batches: Iterator[pd.DataFrame]) -> Iterator:
 def by_file(packed: DataFrame, files: int, subs: int, subs_in: Callable, use: Callable, schema: str) -> DataFrame:
     """``use(file, parts)`` for each file; ``parts`` gives (sub, sorted keys, counts) of all its parts in turn, empty ones too.
 
-    ``use`` yields data frames. ``subs_in(file, keys)``: (sub, from, to) of a file's sorted keys.
+    ``use`` yields data frames. ``subs_in(file, keys)``: (sub, from, to) of a file's sorted keys. The session's
+    batches are of BATCH_BYTES from here on, which changes no result.
     """
+    packed.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def divide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f, rows in groupby(streamed(batches), key=lambda r: r.file):
