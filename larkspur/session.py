@@ -64,6 +64,11 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+def made() -> list[str]:
+    """The folders made and not yet removed."""
+    return list(_MADE)
+
+
 def _read_back(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
