@@ -12,6 +12,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ VOCABULARY = "word_bpe_49k.json"
 MEMO_WORDS = 600_000
 # Texts whose words are learnt in one call.
 TOGETHER = 256
+# Words that one call of the tokenizer takes.
+AT_ONCE = 1024
 # The ASCII marks, which the vocabulary splits from letters.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -33,6 +36,20 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class _Parts(dict):
+    """Ids of parts; one not remembered gets an empty place, the same until ``places`` is replaced."""
+
+    def __init__(self):
+        super().__init__({"": b""})
+        self.places: dict[str, bytearray] = {}
+
+    def __missing__(self, part: str) -> bytearray:
+        place = self.places.get(part)
+        if place is None:
+            place = self.places[part] = bytearray()
+        return place
+
+
 class WordMemo:
     """Encodes texts word by word with a bounded memory of words.
 
@@ -40,55 +57,76 @@ class WordMemo:
     text's ids are those of its parts between blanks and line feeds, one after the other, and those of
     a part of letters with marks behind are the letters' and the marks'. Ids come as little-endian
     uint32 bytes. Words met first fill the memory; later ones are encoded without being kept.
+
+    Lower-case words of Latin letters, which normalization leaves as they are, are encoded many in one text by
+    the model alone. The id that ends a word parts them; where the ends are not one a word, each goes by itself.
     """
 
     def __init__(self, path: str, limit: int = MEMO_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit, self.parts, self.cores = limit, {"": b""}, {"": b""}
-
-    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        self.limit, self.parts, self.cores = limit, _Parts(), {"": b""}
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+
+    def _alone(self, words: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return {word: array("I", x.ids).tobytes() for word, x in zip(words, found, strict=True)}
+
+    def _joined(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of lower-case words of Latin letters."""
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(stops) != len(words):
+            return self._alone(words)
+        raw = ids.tobytes()
+        return {word: raw[a:b] for word, a, b in zip(words, [0, *stops], stops, strict=False)}
+
+    def _encoded(self, words: Iterable[str]) -> dict[str, bytes]:
+        plain, other = [], []
+        for word in words:
+            # No letter below U+0250 is changed by NFC, and every version of Unicode in use calls it one.
+            (plain if word.isalpha() and (word.isascii() or max(word) < "\u0250") and word == word.lower() else other).append(word)
         out = {}
-        for i in range(0, len(words), 4096):
-            some = words[i : i + 4096]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                out[word] = array("I", found.ids).tobytes()
+        for some, encode in ((plain, self._joined), (other, self._alone)):
+            for i in range(0, len(some), AT_ONCE):
+                out |= encode(some[i : i + AT_ONCE])
         return out
 
-    def _lookup(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of the parts that are not remembered."""
-        split = {}
-        for part in parts:
+    def _fill(self, places: dict[str, bytearray]) -> None:
+        """Puts their ids into the places of the parts that are not remembered."""
+        cores = self.cores
+        split = []
+        for part in places:
             core = part.rstrip(MARKS)
             if core.isalpha() and "\u03a3" not in core:  # a capital sigma lowers by its place
-                split[part] = (core.lower(), part[len(core) :])
+                split.append((core.lower(), part[len(core) :]))
             else:
-                split[part] = (part, "")
-        wanted = set(chain.from_iterable(split.values()))
-        cores = self.cores
-        found = self._encoded(list(wanted.difference(cores)))
+                split.append((part, ""))
+        found = self._encoded(set(chain.from_iterable(split)).difference(cores))
         for key in islice(found, max(0, self.limit - len(cores))):
             cores[key] = found[key]
-        ids = lambda word: found[word] if word in found else cores[word]
-        new = {part: ids(core) + ids(tail) for part, (core, tail) in split.items()}
-        for key in islice(new, max(0, self.limit - len(self.parts))):
-            self.parts[key] = new[key]
-        return new
+        for (core, tail), place in zip(split, places.values(), strict=True):
+            place += found[core] if core in found else cores[core]
+            if tail:
+                place += found[tail] if tail in found else cores[tail]
+        for part in islice(places, max(0, self.limit - len(self.parts))):
+            self.parts[part] = bytes(places[part])
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         texts = iter(texts)
         while group := list(islice(texts, TOGETHER)):
             memory.busy()
-            split = [(text or "").replace("\n", " ").split(" ") for text in group]
-            known = self.parts
-            new = self._lookup(set(chain.from_iterable(split)).difference(known))
-            for parts in split:
-                try:
-                    yield b"".join(map(known.__getitem__, parts))
-                except KeyError:
-                    yield b"".join([known[p] if p in known else new[p] for p in parts])
+            self.parts.places, known = {}, self.parts.__getitem__
+            found = [list(map(known, (text or "").replace("\n", " ").split(" "))) for text in group]
+            self._fill(self.parts.places)
+            yield from map(b"".join, found)
 
 
 _MEMOS: dict[str, WordMemo] = {}

@@ -43,6 +43,36 @@ def test_memo_equals_whole_texts(docs):
         assert [np.frombuffer(x, "<u4").tolist() for x in found] == [encode(t) for t in texts]
 
 
+def test_memo_of_every_latin_letter():
+    marks = [chr(c) for c in range(0x260)] + list("\u0301\u0307\u0345\u03a3\u1e9e\u212a\u2c65\u1100\u1161\ufb01\uab5b\U00010d4a")
+    texts, encode = [" ".join([c, f"a{c}b", f"{c}{c.upper()}z", f"the{c}", f"{c}'s."]) for c in marks], encoder()
+    texts.append(" ".join(f"{a}{b}" for a in marks[0xAA:] for b in "xé\u0130"))
+    for limit in (0, 100, 100_000):
+        found = tokens.WordMemo(tokens.vocabulary_path(), limit).encode(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in found] == [encode(t) for t in texts]
+
+
+class Counted:
+    """A tokenizer that notes how many texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.given = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_memo_encodes_new_words_together():
+    words = [f"{a}{b}{c}é" for a in "bcdfgh" for b in "aeiou" for c in "lmnrstvw"]
+    texts, encode = [" ".join(words), " ".join(w.title() + "." for w in words)], encoder()
+    for limit in (0, 100_000):
+        memo = tokens.WordMemo(tokens.vocabulary_path(), limit)
+        memo.tokenizer = counted = Counted(memo.tokenizer)
+        assert [np.frombuffer(x, "<u4").tolist() for x in memo.encode(texts)] == [encode(t) for t in texts]
+        assert counted.given <= 2  # the mark, not each of the 240 words
+
+
 def test_histogram(spark, docs):
     lengths = [len(encoder()(r.text)) for r in docs]
     histogram = QUERIES["op1_token_counts"](spark, SF)
