@@ -81,11 +81,10 @@ class WordMemo:
 
     def _joined(self, words: list[str]) -> dict[str, bytes]:
         """Ids of lower-case words of Latin letters."""
-        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
-        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        raw = array("I", self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids).tobytes()
+        stops = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1)).tolist()
         if len(stops) != len(words):
             return self._alone(words)
-        raw = ids.tobytes()
         return {word: raw[a:b] for word, a, b in zip(words, [0, *stops], stops, strict=False)}
 
     def _encoded(self, words: Iterable[str]) -> dict[str, bytes]:
