@@ -30,21 +30,41 @@ def _rows(found: np.ndarray, counts: np.ndarray, runs: Iterator[tuple[int, int,
     return pd.DataFrame(rows, columns=["file", "sub", "once", "more", "times"])
 
 
-def pack(keys: list[np.ndarray], files_in: Callable[[np.ndarray], Iterator[tuple[int, int, int]]]) -> pd.DataFrame:
-    """A row per file that has keys: those seen once, and the others with their counts. ``files_in``: (file, from, to) of sorted keys."""
-    found, counts = np.unique(np.concatenate(keys), return_counts=True)
-    return _rows(found, counts, files_in(found), lambda f: (f, 0))
+def bounded(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """``pdf`` in pieces of about BATCH_BYTES of its binary columns: what a worker yields goes to Spark as one batch."""
+    sizes = sum((pdf[c].str.len() for c in ("once", "more", "times")), pd.Series(0, index=pdf.index)).to_numpy(np.int64)
+    place = (np.cumsum(sizes) - sizes) // BATCH_BYTES
+    for at in np.unique(place):
+        yield pdf[place == at]
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how often each is there; ``keys`` is sorted in place."""
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.diff(first, append=len(keys))
+
+
+def pack(keys: list[np.ndarray], files_in: Callable[[np.ndarray], Iterator[tuple[int, int, int]]]) -> Iterator[pd.DataFrame]:
+    """A row per file that has keys: those seen once, and the others with their counts. ``files_in``: (file, from, to) of
+    sorted keys. ``keys`` is emptied."""
+    flat = np.concatenate(keys)
+    keys.clear()
+    found, counts = _counted(flat)
+    del flat
+    yield from bounded(_rows(found, counts, files_in(found), lambda f: (f, 0)))
 
 
 def merge(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys of packed rows, and their counts."""
-    once = np.frombuffer(b"".join(r.once for r in rows), "<u8")
-    keys = np.concatenate([once, np.frombuffer(b"".join(r.more for r in rows), "<u8")])
-    times = np.concatenate([np.ones(len(once), dtype=np.int64), np.frombuffer(b"".join(r.times for r in rows), "<u4").astype(np.int64)])
-    order = np.argsort(keys)
-    keys, times = keys[order], times[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(times, first)
+    """Sorted distinct keys of packed rows, and their counts. ``rows`` is emptied: a file's rows and their merge need not stand side by side."""
+    again = np.concatenate([np.frombuffer(r.more, "<u8") for r in rows])
+    times = np.concatenate([np.frombuffer(r.times, "<u4") for r in rows])
+    flat = np.concatenate([again, *[np.frombuffer(r.once, "<u8") for r in rows]])
+    rows.clear()
+    keys, counts = _counted(flat)
+    # Each row of a key counted one already.
+    np.add.at(counts, np.searchsorted(keys, again), times.astype(np.int64) - 1)
+    return keys, counts
 
 
 def held_rows(rows: Iterator, size: Callable, most: int) -> Iterator[list]:
@@ -76,7 +96,7 @@ def by_file(packed: DataFrame, files: int, subs: int, subs_in: Callable, use: Ca
         for f, rows in groupby(streamed(batches), key=lambda r: r.file):
             for some in held_rows(rows, lambda r: (len(r.once) + len(r.more)) // 8, GATHERED):
                 keys, counts = merge(some)
-                yield _rows(keys, counts, subs_in(f, keys), lambda s, f=f: (f, s))
+                yield from bounded(_rows(keys, counts, subs_in(f, keys), lambda s, f=f: (f, s)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         none = np.empty(0, "<u8"), np.empty(0, np.int64)

@@ -117,10 +117,10 @@ def _pack_all(batches: Iterator[pd.DataFrame], keys, files_in, together: int) ->
             held.append(keys(group))
             size += len(held[-1])
             if size > counting.GATHERED:
-                yield counting.pack(held, files_in)
+                yield from counting.pack(held, files_in)
                 held, size = [], 0
     if size:
-        yield counting.pack(held, files_in)
+        yield from counting.pack(held, files_in)
 
 
 def _together(parts: store.Parts) -> int:

@@ -76,10 +76,10 @@ def count_shared(docs: DataFrame, folder: str, parts: store.Parts, n: int) -> No
                     held.append(tokens)
                     size += len(tokens)
                 if size > counting.GATHERED:
-                    yield counting.pack(held, parts.files_in)
+                    yield from counting.pack(held, parts.files_in)
                     held, size = [], 0
         if size:
-            yield counting.pack(held, parts.files_in)
+            yield from counting.pack(held, parts.files_in)
 
     def merged(f: int, found) -> Iterator[pd.DataFrame]:
         with store.writing(folder, [f"df-{f}", f"dfn-{f}"]) as (df, dfn):
@@ -103,9 +103,11 @@ def required(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarr
 def sets(docs: DataFrame, folder: str, parts: store.Parts, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, key of every row; tokens (sorted) and prefix of those that may have links."""
 
+    shaped = lambda rows: pd.DataFrame(rows, columns=["doc_id", "n_shingles", "key", "tokens", "prefix"]).astype({"doc_id": "Int64"})
+
     def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows, ids = [], iter(pdf["doc_id"])
+            rows, ids, held = [], iter(pdf["doc_id"]), 0
             for group in grouped(pdf["text"], max(TOGETHER, parts.files * TOGETHER_A_FILE)):
                 found = shingle_sets(group, n)
                 flat = np.concatenate(found)
@@ -125,9 +127,13 @@ def sets(docs: DataFrame, folder: str, parts: store.Parts, n: int, percent: int)
                         own, times = tokens[shared], times[shared]
                         rare = np.lexsort((own, times))[: many - least + 1]
                         rows.append((next(ids), size, set_key(tokens), own.tobytes(), _signed(own[rare]).tolist()))
+                        held += own.nbytes + rare.nbytes
                     else:
                         rows.append((next(ids), size, set_key(tokens) if size else 0, None, None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "key", "tokens", "prefix"]).astype({"doc_id": "Int64"})
+                    if held > counting.BATCH_BYTES:
+                        yield shaped(rows)
+                        rows, held = [], 0
+            yield shaped(rows)
 
     return docs.mapInPandas(taken, "doc_id bigint, n_shingles bigint, key bigint, tokens binary, prefix array<bigint>")
 
